@@ -1,12 +1,63 @@
-"""The training-corpus pipeline: stages that each read the documents that the one before kept."""
+"""The training-corpus pipeline: stages that each read, as Parquet, the documents that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tessera.llm.mixing import mixed
+from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack_documents
+from tessera.llm.queries import tokenizer
+from tessera.llm.shared import written
+from tessera.llm.substrings import substring_dedup
+from tessera.llm.toxicity import sample, scored, train
+from tessera.session import ship, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among docs, rejects go."""
+    ship(spark)
+    model = train(sample(docs, table(spark, sf_dir, "labels")))
+    return scored(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words a shingle, similarity 0.8) stays: that of the least id."""
+    ship(spark)
+    kept = near_duplicates(spark, docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in a window of 20 that also starts earlier go; a text that loses none stays as it is."""
+    ship(spark)
+    cut = substring_dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    cut = cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights; a document can be taken twice."""
+    return mixed(docs).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    ship(spark)
+    return pack_documents(spark, docs, tokenizer("word_bpe_49k.json"), 1)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("packing", packing)]
+
+#: The first and last stages can't be put in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

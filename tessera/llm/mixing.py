@@ -55,8 +55,8 @@ def expected_copies(target: Column, size: Column) -> Column:
     return F.when(size > 0, target / size).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken; with carry also `row`, a struct of its columns.
 
     The running sum is by rank, as all documents of a source expect the same. Ranks come from one range-partitioned sort of
     (source, size, doc_id): a place within the task plus the rows of the tasks before it, so no source, however large, meets in
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     ids and repeated rows are rows like others. An empty table gives no row.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text").cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text").cast("string")).alias("size"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
     key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
     rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
     rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
@@ -78,5 +78,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     each, rank = expected_copies(F.col("target"), F.col("source_size")), F.col("base") + F.col("place")
     shift = offset(F.col("source"), seed)
     copies = (F.floor((rank + 1) * each + shift) - F.floor(rank * each + shift)).cast("long")
-    full = full.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    full = full.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *["row"] * carry)
     return full.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    rows = mix(docs, carry=True, **how).where("copies > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.html_text import extract_text
+from tessera.llm.licenses import license_scan
+from tessera.llm.media import document_media
 from tessera.llm.mixing import SEED, mix
+from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality
+from tessera.llm.substrings import substring_dedup
 from tessera.llm.tokens import token_records
+from tessera.llm.toxicity import sample, scored, train
 from tessera.session import ship, table
 
 
@@ -21,10 +27,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return document_media(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 1)
@@ -36,6 +62,18 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract fixes two words a shingle."""
+    ship(spark)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scored(docs, train(sample(docs, table(spark, sf_dir, "labels")))).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
@@ -60,9 +98,34 @@ select doc_id, size, source_size, target, ((floor((rank + 1) * each + shift) - f
 """
 
 
+OP1_SQL = r"""
+with w as (select doc_id, case when text is null then [] else regexp_extract_all(text, '[^\x20\x09-\x0D]+') end as ws from documents),
+win as (select doc_id, unnest(range(1, len(ws) - 18)) as p, ws from w where len(ws) >= 20),
+keyed as (select doc_id, p, array_to_string(ws[p:p + 19], ' ') as k from win),
+later as (select doc_id, p from (select doc_id, p, min(struct_pack(d := doc_id, p := p)) over (partition by k) as f from keyed) where struct_pack(d := doc_id, p := p) > f),
+gone as (select distinct doc_id, p + unnest(range(0, 20)) as i from later),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from w),
+kept as (select words.doc_id, count(*) filter (where gone.i is not null) as r, string_agg(word, ' ' order by words.i) filter (where gone.i is null) as t
+         from words left join gone on words.doc_id = gone.doc_id and words.i = gone.i group by words.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(r, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept on w.doc_id = kept.doc_id
+"""
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, case when text is null then [] else regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') end as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) = 1 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c, any_value(a.n) as n, any_value(b.n) as m from e a join e b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+l as (select a, b from p where 100 * c >= 80 * (n + m - c)),
+g as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from s union select g.b, r.c from r join g on g.a = r.doc_id)
+select s.doc_id, len(sh)::bigint as n_shingles, min(c) as component_id, min(c) = s.doc_id as kept from s join r on s.doc_id = r.doc_id group by s.doc_id, sh
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op6_packing, op7_token_records, op10_quality_rules)}
+    every = (op1_substring_dedup, op2_source_mixing, op3_license_scan, op4_html_text, op5_media_columns, op6_packing, op7_token_records, op8_near_duplicates, op9_toxicity, op10_quality_rules)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op8_near_duplicates": OP8_SQL}
