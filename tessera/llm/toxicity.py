@@ -21,7 +21,7 @@ from tessera.llm.words import _POWERS, MULTIPLIER, NOT_ALNUM, U64, Words, mix, s
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows that are fitted at most, and the bytes of a text among them.
 SAMPLE, SAMPLE_BYTES = 8_000, 32_768
-LEAST_DOCS, FEATURES = 5, 40_000
+LEAST_DOCS, FEATURES, TOXIC_WEIGHT = 5, 40_000, 2.0
 LEAST = 0.7
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
@@ -112,11 +112,12 @@ def _fit(sent: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray, k:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of no toxic sentence
         some = np.maximum(-np.expm1(none), 1e-9)
-        g = p * np.where(y[doc] > 0, -np.exp(none[doc]) / some[doc], 1.0)
+        g = p * np.where(y[doc] > 0, -TOXIC_WEIGHT * np.exp(none[doc]) / some[doc], 1.0)
         grad = np.append(np.bincount(feat, g[sent], k), g.sum()) / len(y)
         grad[:k] += decay * w[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w[:k] = np.maximum(w[:k], 0)  # a feature can only speak for toxicity
     return w[:k], float(w[k])
 
 
@@ -135,7 +136,7 @@ def train(rows: pa.Table) -> Model:
     keys, docs_with = np.unique(hs[new], return_counts=True)
     keep = np.argsort(-np.where(docs_with >= LEAST_DOCS, docs_with, 0), kind="stable")[:FEATURES]
     keys = np.sort(keys[keep[docs_with[keep] >= LEAST_DOCS]])
-    for rounds, decay, least in ((60, 1e-4, 0.4), (120, 2e-5, 0.0)):
+    for rounds, decay, least in ((60, 1e-4, 0.4), (200, 2e-5, 0.0)):
         at = np.searchsorted(keys, h)
         known = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.zeros(0, int)
         weights, bias = _fit(sent[known], at[known], doc, y, len(keys), rounds, decay)
