@@ -106,8 +106,8 @@ def frequency_of_note(note: Column) -> Column:
 
 
 def velocity_of_energy(total: Column, count: Column) -> Column:
-    """MIDI velocity of a note's energy: 64 without frames, 1 without energy, else by the logarithm of its root mean square."""
-    level = F.sqrt(total / count)
+    """MIDI velocity of the sum of a note's frame levels: 64 without frames, 1 without level, else by the logarithm of their mean."""
+    level = total / count
     scaled = F.least(F.greatest(1 + F.log10(level), F.lit(0.0)), F.lit(1.0))
     return F.when(count == 0, 64).when(total <= 0, 1).otherwise(F.least(F.greatest(F.round(scaled * 126 + 1), F.lit(1.0)), F.lit(127.0)).cast("int"))
 
