@@ -385,5 +385,6 @@ def index_key(source: bytes, modulus: int, exponent: int = 65537) -> bytes:
     out_size = (modulus.bit_length() - 1) // 8
     out = b""
     for at in range(0, len(source) - out_size, out_size + 1):
-        out += pow(int.from_bytes(source[at : at + out_size + 1], "little"), exponent, modulus).to_bytes(out_size, "little")
+        number = pow(int.from_bytes(source[at : at + out_size + 1], "little"), exponent, modulus)
+        out += number.to_bytes(out_size + 1, "little")[:out_size]
     return out[:56]

@@ -24,8 +24,12 @@ ERROR = "struct<kind:string,context:string,value:long,limit:long>"
 ROWS = 2_000
 
 
+def ddl_of(name: str) -> str:
+    return f"path string, {FORMATS[name].schema}, _error {ERROR}"
+
+
 def schema_of(name: str) -> StructType:
-    return StructType.fromDDL(f"path string, {FORMATS[name].schema}, _error {ERROR}")
+    return StructType.fromDDL(ddl_of(name))
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -83,8 +87,8 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, name: str, options: dict):
-        self.name, self.options = name, options
+    def __init__(self, name: str, options: dict, columns: list[str]):
+        self.name, self.options, self.columns = name, options, columns
 
     def partitions(self) -> list[_Part]:
         import pyarrow.fs as pafs
@@ -100,7 +104,7 @@ class _Reader(DataSourceReader):
         fs = pafs.FileSystem.from_uri(self.options["path"])[0] if "://" in self.options["path"] else pafs.LocalFileSystem()
         with fs.open_input_file(partition.path) as f:
             data = f.read()
-        columns = schema_of(self.name).fieldNames()
+        columns = self.columns
         options = {k: v for k, v in self.options.items() if k not in ("path", "mode")}
         try:
             for row in FORMATS[self.name].decode(data, **options):
@@ -117,11 +121,11 @@ def _source(format_name: str) -> type[DataSource]:
         def name(cls) -> str:
             return "tessera_" + format_name.replace("-", "_")
 
-        def schema(self) -> StructType:
-            return schema_of(format_name)
+        def schema(self) -> str:
+            return ddl_of(format_name)
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _Reader(format_name, dict(self.options))
+            return _Reader(format_name, dict(self.options), schema.fieldNames())
 
     return Source
 
