@@ -217,7 +217,8 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
         out = here if out is None else out.unionByName(here)
         length *= 2
         at = written(spark, _by_document(_level(texts.join(at, "id"), length, None)), "repeats")
-    drop_written(spark, at)
-    if out is None:
+    if out is None:  # nothing repeats
         out = at.select("id", F.lit(length).cast("long").alias("longest"))
+    else:
+        drop_written(spark, at)
     return out.groupBy(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id")).agg(F.max("longest").alias("longest"))
