@@ -21,7 +21,7 @@ from tessera.llm.words import _POWERS, MULTIPLIER, NOT_ALNUM, U64, Words, mix, s
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows that are fitted at most, and the bytes of a text among them.
 SAMPLE, SAMPLE_BYTES = 8_000, 32_768
-LEAST_DOCS, FEATURES, TOXIC_WEIGHT = 5, 40_000, 2.0
+LEAST_DOCS, COMMON, FEATURES, TOXIC_WEIGHT = 5, 0.25, 40_000, 2.0
 LEAST = 0.7
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
@@ -122,29 +122,51 @@ def _fit(sent: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray, k:
 
 
 def train(rows: pa.Table) -> Model:
-    """From a bounded table of (text, toxic). Features of fewer than LEAST_DOCS documents are left out; after a first fit the
-    weights near nought go, and the others are fitted again."""
+    """From a bounded table of (text, toxic). Features of fewer than LEAST_DOCS documents, or of more than COMMON of them, are left
+    out; after a first fit the weights near nought go, and the others are fitted again.
+
+    Memory: texts are taken some megabytes at a time, once to count features by document and once to keep the pairs of a sentence
+    and a feature that was not left out, as 32-bit numbers.
+    """
     y = np.array(rows.column("toxic").to_pylist() if len(rows) else [], float)
-    w = Words(rows.column("text").combine_chunks() if len(rows) else pa.array([], pa.string()), NOT_ALNUM, lower=True)
-    sent, h, doc = pairs_of(w)
-    if not len(sent) or not 0 < y.sum() < len(y):
+    if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, U64), np.zeros(0), -30.0)
-    order = np.lexsort((doc[sent], h))
-    hs, ds = h[order], doc[sent][order]
-    new = np.ones(len(hs), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-    keys, docs_with = np.unique(hs[new], return_counts=True)
-    keep = np.argsort(-np.where(docs_with >= LEAST_DOCS, docs_with, 0), kind="stable")[:FEATURES]
-    keys = np.sort(keys[keep[docs_with[keep] >= LEAST_DOCS]])
-    for rounds, decay, least in ((60, 1e-4, 0.4), (200, 2e-5, 0.0)):
-        at = np.searchsorted(keys, h)
-        known = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.zeros(0, int)
-        weights, bias = _fit(sent[known], at[known], doc, y, len(keys), rounds, decay)
-        if least:
-            keys = keys[np.abs(weights) >= least]
+    batches = [part for batch in rows.combine_chunks().to_batches() for part in slices(batch, "text", 1 << 20)]
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in batches:
+        sent, h, doc = pairs_of(Words(part.column("text"), NOT_ALNUM, lower=True))
+        order = np.lexsort((doc[sent], h))
+        hs, ds = h[order], doc[sent][order]
+        new = np.ones(len(hs), bool)
+        new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+        counts.append(np.unique(hs[new], return_counts=True))
+        if len(counts) == 8:
+            counts = [_merged(counts)]
+    keys, docs_with = _merged(counts)
+    used = np.flatnonzero((docs_with >= LEAST_DOCS) & (docs_with <= COMMON * len(y)))
+    keys = np.sort(keys[used[np.argsort(-docs_with[used], kind="stable")[:FEATURES]]])
+    sents, feats, docs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    model, at_sent, at_doc = Model(keys, np.zeros(len(keys)), 0.0), 0, 0
+    for part in batches:
+        sent, feat, doc = pairs_of(Words(part.column("text"), NOT_ALNUM, lower=True), model)
+        sents.append((sent + at_sent).astype(np.int32))
+        feats.append(feat.astype(np.int32))
+        docs.append((doc + at_doc).astype(np.int32))
+        at_sent, at_doc = at_sent + len(doc), at_doc + part.num_rows
+    sent, feat, doc = np.concatenate(sents), np.concatenate(feats), np.concatenate(docs)
+    weights, bias = _fit(sent, feat, doc, y, len(keys), 60, 1e-4)
+    keep = np.abs(weights) >= 0.4
+    place, known = np.cumsum(keep) - 1, keep[feat]
+    sent, feat, keys = sent[known], place[feat[known]], keys[keep]
+    weights, bias = _fit(sent, feat, doc, y, len(keys), 200, 2e-5)
     return Model(keys, weights, bias)
 
 
+def _merged(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels aren't learned from: crc32 of the id as text leaves 1 by 3. False for a null id, which isn't learned from either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
