@@ -27,7 +27,7 @@ from tessera.llm.words import slices
 
 MASK = 0xA282EAD8
 #: Entries of a worker's memo, and bytes of a shard's records.
-MEMO, SHARD_BYTES = 300_000, 64 << 20
+MEMO, SHARD_BYTES = 500_000, 64 << 20
 DOCS = 512
 
 
@@ -35,7 +35,7 @@ class Memo:
     """Ids of the pieces between which the tokenizer never merges, each encoded by the library once as long as it is held.
 
     Both vocabularies split a text before they merge, so a text's ids are those of its pieces in order. `parts` cuts a text
-    into such pieces, or gives None for a text to be encoded whole.
+    into such pieces, or gives None for a text to be encoded whole. Of full memos the last one is kept to take from.
     """
 
     def __init__(self, path: str, most: int = MEMO):
@@ -47,7 +47,7 @@ class Memo:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         drops = "</w>" in str(getattr(self.tokenizer.model, "end_of_word_suffix", "") or "")
         self.parts = words_of if drops else spaced_words_of
-        self.most, self.held = most, {}
+        self.most, self.held, self.before = most, {}, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,11 +55,14 @@ class Memo:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         cut = [self.parts(x) for x in texts]
-        new = {y for x in cut if x is not None for y in x}
-        new.difference_update(self.held)
+        every = {y for x in cut if x is not None for y in x}
+        new = every.difference(self.held)
         if len(self.held) + len(new) > self.most:
-            self.held = {}
-            new = {y for x in cut if x is not None for y in x}
+            self.held, self.before, new = {}, self.held, every
+        if self.before:
+            known = new.intersection(self.before)
+            self.held.update((x, self.before[x]) for x in known)
+            new -= known
         new = list(new)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
@@ -68,8 +71,10 @@ class Memo:
         return [self.whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
 
 
-_SPACED, _ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile(r"[^\S \n\t\r]")
-_WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Letters up to a mark that isn't an apostrophe: both vocabularies part them there, and "word", "word." and "word," share a piece.
+_LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?=[!-&(-/:-@\[-`{-~])"
+_SPACED, _ODD = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s+"), re.compile(r"[^\S \n\t\r]")
+_WORDS = re.compile(rf"{_LETTERS}|[^ \t\n\r\x0b\x0c]+")
 
 
 def spaced_words_of(text: str) -> list[str] | None:
