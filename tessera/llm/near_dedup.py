@@ -4,7 +4,7 @@ Documents with equal shingle sets are one class. Of each class one signature is
 pairs, and of 128 minima the low two bits, packed into four numbers. Classes that meet in a band's bucket are compared with the
 bucket's least class first; a pair whose sizes allow the similarity, and whose similarity by bit counts, corrected for chance
 agreement, isn't six deviations below it, is confirmed on the full sets. Buckets whose classes then lie in different components
-are taken up again, some further classes as partners in each round, until no bucket holds two components with classes that
+are taken up again, twice as many further classes as partners in each round, until no bucket holds two components with classes that
 haven't been compared: a bucket's pairs are never all written out, and none that could join two components is left.
 """
 
@@ -24,7 +24,7 @@ from tessera.llm.words import U64, Words, mix, slices, windows
 
 SHINGLE, PERCENT, BANDS, BAND_ROWS = 5, 80, 32, 5
 PERMUTATIONS, PACKED = BANDS * BAND_ROWS, 128
-PARTNERS, SMALL = 16, 100_000
+PARTNERS, SMALL = 16, 400_000
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +114,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of document ids, those with 100 x shared >= percent x united shingles."""
-    pairs = written(spark, pairs, "pairs")
+    """Of a written table of pairs (a, b) of document ids, those with 100 x shared >= percent x united shingles."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if 0 < pairs.count() <= SMALL // 2:  # at most SMALL ids, so they can be sent to every task; more of them are joined
@@ -153,16 +152,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     members = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2"], "left").select("doc_id", "n_shingles", "node")
-    own = live.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "f1", "f2"], "left_semi")
+    own = live.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1"])
     own = written(spark, own.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "s0", "s1", "s2", "s3"), "classes")
     places = own.select(F.explode("bands").alias("key"), "node")
     shared = places.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("other")).where("first != other").select("key", "first")
     buckets = written(spark, places.join(shared, "key").where("node != first").distinct(), "buckets")
-    pairs = _plausible(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), own, percent)
+    pairs = written(spark, _plausible(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), own, percent), "pairs")
     links = written(spark, confirmed(spark, docs, pairs, shingle, percent), "links")
-    rest = buckets.select("key", "node")
+    rest, tested, partners_now = buckets.select("key", "node"), pairs, PARTNERS
+    found = components(spark, links)
     while True:
-        found = components(spark, links)
         placed = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
         placed = written(spark, placed.join(open_keys, "key", "left_semi"), "open")
@@ -173,10 +172,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE
         largest = groups.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"))
         groups = groups.join(largest, "key").where(F.struct("size", "component") < F.col("top"))
         order = Window.partitionBy("key").orderBy("size", "component")
-        partners = groups.withColumn("r", F.row_number().over(order)).where(f"r <= {PARTNERS}").select("key", "a", F.col("component").alias("c"))
+        partners = groups.withColumn("r", F.row_number().over(order)).where(f"r <= {partners_now}").select("key", "a", F.col("component").alias("c"))
         new = placed.join(partners, "key").where("component != c").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        more = written(spark, confirmed(spark, docs, _plausible(new, own, percent), shingle, percent), "links")
-        links = links.unionByName(more)
+        new = written(spark, _plausible(new.join(tested, ["a", "b"], "left_anti"), own, percent), "pairs")
+        more = written(spark, confirmed(spark, docs, new, shingle, percent), "links")
+        tested, partners_now = tested.unionByName(new), 2 * partners_now
+        if not more.isEmpty():
+            found = components(spark, found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
         rest = placed.select("key", "node").join(partners.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
     out = members.join(found.withColumnRenamed("component", "_c"), "node", "left")
     component = F.coalesce("_c", "node", "doc_id")
