@@ -43,8 +43,11 @@ NOTICES = (
     ("cc0", ("cc0 1 0 universal",), "to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under cc0 1.0 universal"),
 )
 
+# Function words, which no notice is told by.
+FUNCTION_WORDS = frozenset("a all and any are as at be been but by can for from has have if in into is it may more must no not of on one or see so that the their these this those to under was will with you your".split())
+
 #: Words looked up for a text, differences that count as one, and the share of a notice's words that must be there.
-LOOKED_UP, SLACK, LEAST = 48, 4, 0.6
+LOOKED_UP, SLACK, LEAST = 32, 4, 0.6
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -70,9 +73,11 @@ class Index:
         self.postings = [np.array(postings[h], np.int64) for h in self.words.tolist()]
         held_by = np.array([len(set(x[:, 0].tolist())) for x in self.postings])
         self.idf = np.log(len(notices) / held_by)
-        self.rare = self.idf > np.log(3)  # words of fewer than a third of the notices
+        names = sorted(FUNCTION_WORDS)
+        common = np.isin(self.words, np.concatenate([_hashes([x]) for x in names]))
+        self.rare = ~common & (self.idf > np.log(2))  # words of fewer than half of the notices
         self.bits = np.zeros(1 << 16, bool)
-        self.bits[self.words & U64(0xFFFF)] = True
+        self.bits[self.words[self.rare] & U64(0xFFFF)] = True
 
     def base(self, w: Words) -> list[tuple[np.ndarray, str]]:
         """Where each base phrase starts, as places among the slice's words."""
@@ -94,6 +99,8 @@ class Index:
         if len(places) < 2:
             return {}, 0.0
         own = np.unique(which)
+        if len(own) < 2:
+            return {}, 0.0
         own = own[np.lexsort((own, -self.idf[own]))][:LOOKED_UP]
         votes: dict[int, list[np.ndarray]] = {}
         for k in own.tolist():
