@@ -17,36 +17,37 @@ BUCKETS, SMOOTHING, LEAST, TRUSTED = 1 << 16, 0.5, -0.25, 20_000
 WINDOW = 5
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ as an array; none of a null or empty text."""
     trimmed = F.btrim(text, F.lit(WHITE))
     return F.when(F.length(trimmed) > 0, F.split(trimmed, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def gram_buckets(w: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of each word and of each two neighbouring words (after the words' own)."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(F.get(w, i), x), F.lit(buckets)).cast("int"))
+def hashed(w: Column) -> Column:
+    """A 64-bit hash of each word; longer grams are hashed from these."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def gram_buckets(h: Column, buckets: int = BUCKETS) -> Column:
+    """Of an array of word hashes: the bucket of each word and of each two neighbouring words (after the words' own)."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    two = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
     return F.concat(one, two)
 
 
 def with_rules(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """docs with _h (hashes of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     A null text counts as one without words. Lines are parted by \\n and compared as they are; lines without a word don't count.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(without(x, WHITE)) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WHITE))) > 0)
     df = docs.withColumn("_w", words(t)).withColumn("n_words", F.size("_w").cast("long"))
-    df = df.withColumn("word_chars", F.length(without(t, WHITE)).cast("long"))
-    df = df.withColumn("n_symbols", (F.length(t) - F.length(without(t, SYMBOLS))).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).withColumn("_h", hashed(F.col("_w"))).drop("_w")
+    df = df.withColumn("n_symbols", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"))
     df = df.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_l")
-    n, w = F.size("_w"), F.col("_w")
-    run = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)])
+    n, h = F.size("_h"), F.col("_h")
+    run = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])
     df = df.withColumn("_r", F.when(n >= window, F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>")))
     r = F.col("_r")
     # Places whose run has an equal one: sorted by hash and place, a neighbour has the same hash.
@@ -67,8 +68,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = F.broadcast(ids.withColumn("_t", F.lit(1)))
-    grams = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("_w")).join(ids, "doc_id", "left")
-    grams = grams.select(F.coalesce("_t", F.lit(0)).alias("_t"), F.explode(gram_buckets(F.col("_w"), buckets)).alias("bucket"))
+    grams = docs.select("doc_id", hashed(words(F.coalesce(F.col("text"), F.lit("")))).alias("_h")).join(ids, "doc_id", "left")
+    grams = grams.select(F.coalesce("_t", F.lit(0)).alias("_t"), F.explode(gram_buckets(F.col("_h"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("own"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))  # `buckets` rows, a parameter
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "own"])
@@ -87,9 +88,9 @@ def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothi
     """
     ratios = log_ratios(docs, trusted, buckets, smoothing, most)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    df = with_rules(docs.drop(*made)).withColumn("_g", gram_buckets(F.col("_w"), buckets))
+    df = with_rules(docs.drop(*made)).withColumn("_g", gram_buckets(F.col("_h"), buckets))
     df = df.withColumn("_r", ratios.scalar())
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(F.col("_r"), b))
     score = F.when(F.size("_g") > 0, total / F.size("_g") / 1e6).otherwise(F.lit(0.0))
     df = df.withColumn("score", score)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).drop("_w", "_g", "_r")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).drop("_h", "_g", "_r")

@@ -126,7 +126,7 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     df = table(spark, rows)
     got = {r["doc_id"]: r["score"] for r in quality.quality(df, df.where("doc_id = 1"), buckets=64).collect()}
     bucket = {r["g"]: r["b"] for r in spark.sql("select x as g, cast(pmod(xxhash64(x), 64) as int) b from values 'a', 'b', 'c' t(x)").collect()}
-    pair = {(r["x"], r["y"]): r["b"] for r in spark.sql("select x, y, cast(pmod(xxhash64(x, y), 64) as int) b from values ('a','b'), ('a','c'), ('b','b') t(x, y)").collect()}
+    pair = {(r["x"], r["y"]): r["b"] for r in spark.sql("select x, y, cast(pmod(xxhash64(xxhash64(x), xxhash64(y)), 64) as int) b from values ('a','b'), ('a','c'), ('b','b') t(x, y)").collect()}
     grams = {i: [bucket[x] for x in t.split()] + [pair[p] for p in itertools.pairwise(t.split())] for i, t, _ in rows}
     raw, own = Counter(g for x in grams.values() for g in x), Counter(grams[1])
     ratio = lambda g: round(1e6 * (math.log((own[g] + 0.5) / (sum(own.values()) + 32)) - math.log((raw[g] + 0.5) / (sum(raw.values()) + 32))))
