@@ -29,8 +29,10 @@ WINDOW, SEED_WORDS = 20, 10
 #: Windows that a task compares at once.
 CHUNK = 1_500_000
 LAST = (1 << 63) - 1
-ROW = "k long, check long, id long, pos int, many boolean, packed binary"
-_SCHEMA = pa.schema([("k", pa.int64()), ("check", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("many", pa.bool_()), ("packed", pa.binary())])
+#: What is exchanged: tag holds 31 bits of a second hash, the place, and if the task has more of the window. Rows stand in the
+#: order of documents and places, which makes them small when compressed.
+ROW = "k long, tag long, id long, packed binary"
+_SCHEMA = pa.schema([("k", pa.int64()), ("tag", pa.int64()), ("id", pa.int64()), ("packed", pa.binary())])
 
 
 def least_runs(hashes: np.ndarray, last: np.ndarray, run: int, window: int) -> np.ndarray:
@@ -73,10 +75,12 @@ class _Chunk:
         # Repeated rows of one document id hold equal places; those aren't later ones.
         lead = np.repeat(firsts, np.diff(np.append(firsts, len(h))))
         later = (doc != doc[lead]) | (pos != pos[lead])
+        ranked = np.argsort(order[firsts])
+        firsts, many = firsts[ranked], many[ranked]
         for at in range(0, len(firsts), 50_000):
             i = firsts[at : at + 50_000]
-            m = len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(check[i]), pa.array(doc[i]), pa.array(pos[i]), pa.array(many[at : at + m]), pa.nulls(m, pa.binary())], schema=_SCHEMA)
+            tag = check[i] << 33 | pos[i].astype(np.int64) << 1 | many[at : at + len(i)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(tag), pa.array(doc[i]), pa.nulls(len(i), pa.binary())], schema=_SCHEMA)
         if later.any():
             doc, pos = doc[later], pos[later]
             order = np.argsort(doc, kind="stable")
@@ -85,7 +89,7 @@ class _Chunk:
             keys = doc[np.append(0, edges)]
             packed = [x.astype("<i4").tobytes() for x in np.split(pos, edges)]
             m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(keys.view(U64)).view(np.int64)), pa.array(np.full(m, -1)), pa.array(keys), pa.nulls(m, pa.int32()), pa.array(np.ones(m, bool)), pa.array(packed, pa.binary())], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(keys.view(U64)).view(np.int64)), pa.nulls(m, pa.int64()), pa.array(keys), pa.array(packed, pa.binary())], schema=_SCHEMA)
 
 
 def _marks(columns: list[pa.Array], n: int, offsets: np.ndarray) -> np.ndarray:
@@ -136,7 +140,7 @@ def _level(docs: DataFrame, length: int, seed: int | None) -> DataFrame:
                 if not len(at):
                     continue
                 h = windows(w.hashes, length)[at]
-                check = (windows(w.hashes, length, 0x8CB92BA72F3D8DD7)[at] >> U64(32)).astype(np.int64)
+                check = (windows(w.hashes, length, 0x8CB92BA72F3D8DD7)[at] >> U64(33)).astype(np.int64)
                 doc = w.document[at]
                 ids = np.array(part.column("id").to_pylist(), np.int64)
                 chunk.add(h, check, ids[doc], (at - w.offsets[doc]).astype(np.int32))
@@ -144,7 +148,8 @@ def _level(docs: DataFrame, length: int, seed: int | None) -> DataFrame:
                     yield from chunk.rows()
         yield from chunk.rows()
 
-    rows = docs.mapInArrow(look, ROW)
+    rows = docs.mapInArrow(look, ROW).repartition("k")
+    rows = rows.withColumn("check", F.shiftrightunsigned("tag", 33)).withColumn("pos", F.shiftrightunsigned("tag", 1).bitwiseAND(0xFFFFFFFF).cast("int")).withColumn("many", F.col("tag").bitwiseAND(1) == 1)
     same = Window.partitionBy("k", "check")
     place = F.struct("id", "pos")
     rows = rows.withColumn("n", F.count("*").over(same)).withColumn("first", F.min(place).over(same))
