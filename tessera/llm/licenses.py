@@ -1,7 +1,7 @@
 """Licence scans with a positional index of rare words.
 
-The index holds the words of the notices below with their places. Of a text's words that the index knows, those of the highest
-inverse document frequency (over the notices) are looked up; each pair of a place in the text and a place in a notice votes for
+The index holds the words of the notices below with their places. Of a text's words that the index knows, all that aren't
+function words and stand in fewer than half of the notices are looked up; each pair of a place in the text and a place in a notice votes for
 the notice at their difference, votes of neighbouring differences count together, and at the best one the notice's words
 are compared with the text. A notice is found if enough of its words are there and each of its key phrases stands in the text.
 """
@@ -46,8 +46,8 @@ NOTICES = (
 # Function words, which no notice is told by.
 FUNCTION_WORDS = frozenset("a all and any are as at be been but by can for from has have if in into is it may more must no not of on one or see so that the their these this those to under was will with you your".split())
 
-#: Words looked up for a text, differences that count as one, and the share of a notice's words that must be there.
-LOOKED_UP, SLACK, LEAST = 32, 4, 0.6
+#: Differences that count as one, and the share of a notice's words that must be there.
+SLACK, LEAST = 4, 0.6
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -72,10 +72,9 @@ class Index:
         self.words = np.array(sorted(postings), U64)
         self.postings = [np.array(postings[h], np.int64) for h in self.words.tolist()]
         held_by = np.array([len(set(x[:, 0].tolist())) for x in self.postings])
-        self.idf = np.log(len(notices) / held_by)
         names = sorted(FUNCTION_WORDS)
         common = np.isin(self.words, np.concatenate([_hashes([x]) for x in names]))
-        self.rare = ~common & (self.idf > np.log(2))  # words of fewer than half of the notices
+        self.rare = ~common & (2 * held_by < len(notices))  # words of fewer than half of the notices
         self.bits = np.zeros(1 << 16, bool)
         self.bits[self.words[self.rare] & U64(0xFFFF)] = True
 
@@ -101,7 +100,6 @@ class Index:
         own = np.unique(which)
         if len(own) < 2:
             return {}, 0.0
-        own = own[np.lexsort((own, -self.idf[own]))][:LOOKED_UP]
         votes: dict[int, list[np.ndarray]] = {}
         for k in own.tolist():
             here = places[which == k]

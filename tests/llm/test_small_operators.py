@@ -281,6 +281,20 @@ def test_licenses(spark, rows):
     assert got[201]["labels"] == "mit" and got[201]["n_base"] == 0 and got[204]["labels"] == "gpl" and got[203]["labels"] == ""
 
 
+def _scan(text):
+    return licenses.Index().scan(licenses._hashes(licenses.words_of(text)))
+
+
+def test_licenses_all_rare_words():
+    index = licenses.Index()
+    names = {int(licenses._hashes([w])[0]): w for n in licenses.NOTICES for w in licenses.words_of(n[2])}
+    rare = [names[h] for h in index.words[index.rare].tolist()]
+    for label, _, notice in licenses.NOTICES:  # a long text that holds each other rare word, before a notice
+        own = licenses.words_of(notice)
+        assert label in _scan(" ".join([*(w for w in rare if w not in own), "filler " * 90, notice]))[0]
+    assert set(_scan(" ".join(n[2] for n in licenses.NOTICES))[0]) == {n[0] for n in licenses.NOTICES}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><header>Site</header><div class='cookie-notice'>We use cookies</div><article><header><h1>Title&nbsp;here</h1></header><p>First <b>bold</b>\n text &amp; more of it, long enough.</p><aside>related</aside><p>Short.</p><form>search</form></article><div id=comments><p>A long comment by a reader of this very page, indeed.</p></div><footer>&copy; x</footer></body></html>"
     assert main_text(page)[0] == "Title here First bold text & more of it, long enough. Short."
