@@ -1,9 +1,10 @@
 """Licence scans with a positional index of rare words.
 
 The index holds the words of the notices below with their places. Of a text's words that the index knows, all that aren't
-function words and stand in fewer than half of the notices are looked up; each pair of a place in the text and a place in a notice votes for
-the notice at their difference, votes of neighbouring differences count together, and at the best one the notice's words
-are compared with the text. A notice is found if enough of its words are there and each of its key phrases stands in the text.
+function words and stand in fewer than half of the notices are looked up; each pair of a place in the text and a place in a
+notice votes for the notice at their difference, votes of neighbouring differences count together, and at each one with two votes
+or more the notice's words are compared with the text. A notice is found if at one of them enough of its words are there and each
+of its key phrases stands.
 """
 
 from __future__ import annotations
@@ -71,6 +72,7 @@ class Index:
                 postings.setdefault(h, []).append((k, i))
         self.words = np.array(sorted(postings), U64)
         self.postings = [np.array(postings[h], np.int64) for h in self.words.tolist()]
+        self.weights = np.array([np.bincount(np.searchsorted(self.words, x), minlength=len(self.words)) for x in self.notices])
         held_by = np.array([len(set(x[:, 0].tolist())) for x in self.postings])
         names = sorted(FUNCTION_WORDS)
         common = np.isin(self.words, np.concatenate([_hashes([x]) for x in names]))
@@ -87,6 +89,19 @@ class Index:
             out.append((runs[runs + n <= last[runs]], label))
         return out
 
+    def _held(self, notice: int, places: np.ndarray, which: np.ndarray, width: int, n: int) -> np.ndarray:
+        """How many of a notice's words stand in each run of `width` words of a text of n, the first of which starts `width` words
+        before it; runs may stick out. places and which are the text's known words, in the order of word and place."""
+        weights = self.weights[notice][which]
+        own = np.flatnonzero(weights)
+        at, word, weight = places[own], which[own], weights[own]
+        # A place p is in the runs that start from p - width + 1 to p; those with an earlier place of the same word count there.
+        since = at - width + 1
+        same = np.flatnonzero(word[1:] == word[:-1]) + 1
+        since[same] = np.maximum(since[same], at[same - 1] + 1)
+        change = np.bincount(since + width, weight, n + width + 1) - np.bincount(at + 1 + width, weight, n + width + 1)
+        return np.cumsum(change)
+
     def scan(self, doc: np.ndarray) -> tuple[dict[str, float], float]:
         """Labels found in one text's word hashes, each with the largest share of a notice's words, and the largest share of all."""
         maybe = np.flatnonzero(self.bits[doc & U64(0xFFFF)])
@@ -107,19 +122,32 @@ class Index:
                 votes.setdefault(notice, []).append(here - i)
         found: dict[str, float] = {}
         most = 0.0
+        every = None  # the text's words that the index knows, function words too
+        runs: dict[bytes, np.ndarray] = {}  # key phrases' starts in the text
         for notice, lists in votes.items():
             gaps, counts = np.unique(np.concatenate(lists), return_counts=True)
             total = np.concatenate([[0], np.cumsum(counts)])
             near = total[np.searchsorted(gaps, gaps + SLACK, "right")] - total[np.arange(len(gaps))]
-            if near.max() < 2:
+            starts = gaps[near >= 2]
+            if not len(starts):
                 continue
-            start = int(gaps[np.argmax(near)])
-            text = doc[max(0, start) : start + SLACK + len(self.notices[notice])]
-            share = float(np.isin(self.notices[notice], text).mean())
-            keys = all(len(text) >= len(k) and (windows(text, len(k)) == windows(k, len(k))[0]).any() for k in self.keys[notice])
-            if keys and share >= LEAST:
-                found[self.labels[notice]] = max(found.get(self.labels[notice], 0.0), share)
-            most = max(most, share if keys else share / 2)
+            if every is None:
+                at = np.minimum(np.searchsorted(self.words, doc), len(self.words) - 1)
+                places = np.flatnonzero(self.words[at] == doc)
+                places = places[np.argsort(at[places], kind="stable")]
+                every = places, at[places]
+            size = len(self.notices[notice])
+            shares = self._held(notice, *every, size + SLACK, len(doc))[starts + size + SLACK] / size
+            keys = np.ones(len(starts), bool)
+            for k in self.keys[notice]:
+                if (name := k.tobytes()) not in runs:
+                    runs[name] = np.flatnonzero(windows(doc, len(k)) == windows(k, len(k))[0])
+                after = np.searchsorted(runs[name], starts + size + SLACK - len(k), "right")
+                keys &= after > np.searchsorted(runs[name], starts)
+            whole = shares[keys & (shares >= LEAST)]
+            if len(whole):
+                found[self.labels[notice]] = max(found.get(self.labels[notice], 0.0), float(whole.max()))
+            most = max(most, float(np.where(keys, shares, shares / 2).max()))
         return found, most
 
 

@@ -295,6 +295,33 @@ def test_licenses_all_rare_words():
     assert set(_scan(" ".join(n[2] for n in licenses.NOTICES))[0]) == {n[0] for n in licenses.NOTICES}
 
 
+def test_licenses_each_alignment():
+    """Against each place of each notice: notices after similar or damaged ones, and texts of their words alone."""
+    index, r = licenses.Index(), random.Random(5)
+    texts = {label: notice for label, _, notice in licenses.NOTICES}
+    affero = "under the terms of the gnu affero general public license as published by the free software foundation, version 3 of the license"
+    assert set(_scan(f"{licenses.NOTICES[5][2]} {'x ' * 90} {affero}")[0]) == {"gpl", "agpl"}
+    assert "isc" in _scan(texts["isc"].replace("copy", "x") + " x" * 90 + " " + texts["isc"])[0]
+    names = sorted({w for n in licenses.NOTICES for w in licenses.words_of(n[2])})
+    for _ in range(60):
+        made = [licenses.words_of(r.choice(licenses.NOTICES)[2])[r.choice([0, 0, 3]) :] if r.random() < 0.7 else r.choices([*names, "x"], k=30) for _ in range(r.randrange(5))]
+        words = [w for x in made for w in x if r.random() < 0.95]
+        found, most = {}, 0.0
+        for (label, phrases, notice), own in zip(licenses.NOTICES, index.notices, strict=True):
+            n, rare = licenses.words_of(notice), set(index.words[index.rare].tolist())
+            doc = licenses._hashes(words).tolist() if words else []
+            gaps = Counter(p - i for p, h in enumerate(doc) for i, k in enumerate(own.tolist()) if h == k and h in rare)
+            for g in gaps if len(rare & set(doc)) > 1 else ():
+                if sum(gaps[g + d] for d in range(licenses.SLACK + 1)) > 1:
+                    text = words[max(0, g) : g + licenses.SLACK + len(n)]
+                    share = sum(w in text for w in n) / len(n)
+                    keys = all(f" {' '.join(licenses.words_of(p))} " in f" {' '.join(text)} " for p in phrases)
+                    if keys and share >= licenses.LEAST:
+                        found[label] = max(found.get(label, 0), share)
+                    most = max(most, share if keys else share / 2)
+        assert _scan(" ".join(words)) == (found, most)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>Home</a></nav><header>Site</header><div class='cookie-notice'>We use cookies</div><article><header><h1>Title&nbsp;here</h1></header><p>First <b>bold</b>\n text &amp; more of it, long enough.</p><aside>related</aside><p>Short.</p><form>search</form></article><div id=comments><p>A long comment by a reader of this very page, indeed.</p></div><footer>&copy; x</footer></body></html>"
     assert main_text(page)[0] == "Title here First bold text & more of it, long enough. Short."
