@@ -7,7 +7,11 @@ every candidate is judged; longest_repeats() goes on to 40, 80, ... until no can
 
 A level is one pass over the texts and one exchange. Each task first compares the windows that it holds, a bounded number at a
 time, and sends one row for each different window; so a window that stands in a third of all documents gives one row per
-such chunk. Places that a task has settled travel with their document, spread by its id.
+such chunk. Places that a task has settled travel with their row, spread by its key.
+
+Places belong to rows: a row's key is its doc_id and a hash of its text (_row), so that different texts under one id don't get
+each other's places. doc_id and place tell which window starts earlier; rows with a null id are all documents of their own, each
+with a number in its _row that is written once, and these come last, in the order of _row.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ CHUNK = 1_500_000
 LAST = (1 << 63) - 1
 #: What is exchanged: tag holds 31 bits of a second hash, the place, and if the task has more of the window. Rows stand in the
 #: order of documents and places, which makes them small when compressed.
-ROW = "k long, tag long, id long, packed binary"
-_SCHEMA = pa.schema([("k", pa.int64()), ("tag", pa.int64()), ("id", pa.int64()), ("packed", pa.binary())])
+ROW = "k long, tag long, id long, _row long, packed binary"
+_SCHEMA = pa.schema([("k", pa.int64()), ("tag", pa.int64()), ("id", pa.int64()), ("_row", pa.int64()), ("packed", pa.binary())])
+KEY = ["id", "_row"]
 
 
 def least_runs(hashes: np.ndarray, last: np.ndarray, run: int, window: int) -> np.ndarray:
@@ -50,46 +55,58 @@ def least_runs(hashes: np.ndarray, last: np.ndarray, run: int, window: int) -> n
 
 
 class _Chunk:
-    """Windows of some documents: hash, second hash, document, place."""
+    """Windows of some rows: hash, second hash, number of the row in the chunk, place; and the rows' keys."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
+        self.keys: list[np.ndarray] = []
+        self.n = self.held = 0
 
-    def add(self, *columns: np.ndarray) -> None:
-        self.parts.append(columns)
-        self.n += len(columns[0])
+    def add(self, h: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray, keys: np.ndarray) -> None:
+        self.parts.append((h, check, (doc + self.held).astype(np.int32), pos))
+        self.keys.append(keys)
+        self.n += len(h)
+        self.held += len(keys)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """A row for each different window, with its first place; then each document's later places."""
+        """A row for each different window, with its first place, and for each other text under that id that has it there; then
+        each row's later places."""
         if not self.n:
             return
         h, check, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.n = [], 0
-        order = np.lexsort((pos, doc, check, h))
-        h, check, doc, pos = h[order], check[order], doc[order], pos[order]
+        keys, number = np.unique(np.concatenate(self.keys), axis=0, return_inverse=True)
+        self.parts, self.keys, self.n, self.held = [], [], 0, 0
+        ids, own = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
+        apart = np.ones(len(ids), bool)  # from the row before, as a document
+        apart[1:] = (ids[1:] != ids[:-1]) | (ids[1:] == LAST)
+        doc = number.reshape(-1)[doc]
+        place = np.cumsum(apart)[doc] << 32 | pos
+        order = np.lexsort((doc, place, check, h))
+        h, check, doc, pos, place = h[order], check[order], doc[order], pos[order], place[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-        firsts = np.flatnonzero(new)
-        many = np.diff(np.append(firsts, len(h))) > 1
-        # Repeated rows of one document id hold equal places; those aren't later ones.
-        lead = np.repeat(firsts, np.diff(np.append(firsts, len(h))))
-        later = (doc != doc[lead]) | (pos != pos[lead])
+        leads = np.flatnonzero(new)
+        sizes = np.diff(np.append(leads, len(h)))
+        # Rows of one document id that hold a window at equal places: those aren't later ones.
+        later = place != place[np.repeat(leads, sizes)]
+        new[1:] |= doc[1:] != doc[:-1]
+        firsts = np.flatnonzero(new & ~later)
+        many = np.repeat(sizes > 1, sizes)[firsts]
         ranked = np.argsort(order[firsts])
         firsts, many = firsts[ranked], many[ranked]
         for at in range(0, len(firsts), 50_000):
             i = firsts[at : at + 50_000]
             tag = check[i] << 33 | pos[i].astype(np.int64) << 1 | many[at : at + len(i)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(tag), pa.array(doc[i]), pa.nulls(len(i), pa.binary())], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(tag), pa.array(ids[doc[i]]), pa.array(own[doc[i]]), pa.nulls(len(i), pa.binary())], schema=_SCHEMA)
         if later.any():
             doc, pos = doc[later], pos[later]
             order = np.argsort(doc, kind="stable")
             doc, pos = doc[order], pos[order]
             edges = np.flatnonzero(np.diff(doc)) + 1
-            keys = doc[np.append(0, edges)]
+            docs = doc[np.append(0, edges)]
             packed = [x.astype("<i4").tobytes() for x in np.split(pos, edges)]
-            m = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(keys.view(U64)).view(np.int64)), pa.nulls(m, pa.int64()), pa.array(keys), pa.array(packed, pa.binary())], schema=_SCHEMA)
+            m = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(ids[docs].view(U64) ^ mix(own[docs].view(U64))).view(np.int64)), pa.nulls(m, pa.int64()), pa.array(ids[docs]), pa.array(own[docs]), pa.array(packed, pa.binary())], schema=_SCHEMA)
 
 
 def _marks(columns: list[pa.Array], n: int, offsets: np.ndarray) -> np.ndarray:
@@ -128,8 +145,8 @@ def _candidates(part: pa.RecordBatch, length: int, seed: int | None) -> tuple[Wo
 
 
 def _level(docs: DataFrame, length: int, seed: int | None) -> DataFrame:
-    """One level: docs (id, text, and from the second level on firsts, laters, packed) to the places of repeated windows, as
-    rows (id, pos or packed, later): later if an equal window starts earlier."""
+    """One level: docs (id, _row, text, and from the second level on firsts, laters, packed) to the places of repeated windows,
+    as rows (id, _row, pos or packed, later): later if an equal window starts earlier."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
@@ -142,8 +159,8 @@ def _level(docs: DataFrame, length: int, seed: int | None) -> DataFrame:
                 h = windows(w.hashes, length)[at]
                 check = (windows(w.hashes, length, 0x8CB92BA72F3D8DD7)[at] >> U64(33)).astype(np.int64)
                 doc = w.document[at]
-                ids = np.array(part.column("id").to_pylist(), np.int64)
-                chunk.add(h, check, ids[doc], (at - w.offsets[doc]).astype(np.int32))
+                keys = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in KEY], 1)
+                chunk.add(h, check, doc, (at - w.offsets[doc]).astype(np.int32), keys)
                 if chunk.n >= CHUNK:
                     yield from chunk.rows()
         yield from chunk.rows()
@@ -151,27 +168,38 @@ def _level(docs: DataFrame, length: int, seed: int | None) -> DataFrame:
     rows = docs.mapInArrow(look, ROW).repartition("k")
     rows = rows.withColumn("check", F.shiftrightunsigned("tag", 33)).withColumn("pos", F.shiftrightunsigned("tag", 1).bitwiseAND(0xFFFFFFFF).cast("int")).withColumn("many", F.col("tag").bitwiseAND(1) == 1)
     same = Window.partitionBy("k", "check")
-    place = F.struct("id", "pos")
+    place = F.struct("id", F.when(F.col("id") == LAST, F.col("_row")).alias("null_id"), "pos")
     rows = rows.withColumn("n", F.count("*").over(same)).withColumn("first", F.min(place).over(same))
     later = F.col("packed").isNotNull() | (place > F.col("first"))
-    return rows.where("packed is not null or n > 1 or many").select("id", "pos", "packed", later.alias("later"))
+    return rows.where("packed is not null or n > 1 or many").select(*KEY, "pos", "packed", later.alias("later"))
 
 
 def _by_document(rows: DataFrame, firsts: bool = True) -> DataFrame:
     made = [F.collect_list(F.when(~F.col("later"), F.col("pos"))).alias("firsts")] if firsts else []
-    return rows.groupBy("id").agg(*made, F.collect_list(F.when(F.col("later") & F.col("packed").isNull(), F.col("pos"))).alias("laters"), F.collect_list("packed").alias("packed"))
+    return rows.groupBy(*KEY).agg(*made, F.collect_list(F.when(F.col("later") & F.col("packed").isNull(), F.col("pos"))).alias("laters"), F.collect_list("packed").alias("packed"))
+
+
+def _with_keys(docs: DataFrame, others: tuple = ()) -> DataFrame:
+    """docs as id, _row, text and others. Rows with a null id are written with their _row, as that must not change from one reading to
+    the next."""
+    own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    known = docs.where(own.isNotNull()).select(own.alias("id"), F.xxhash64(text).alias("_row"), text.alias("text"), *others)
+    none = docs.where(own.isNull()).select(F.lit(LAST).alias("id"), F.xxhash64(text).bitwiseXOR(F.monotonically_increasing_id()).alias("_row"), text.alias("text"), *others)
+    none = written(docs.sparkSession, none, "null-ids")
+    if not none.isEmpty():
+        return known.unionByName(none)
+    drop_written(docs.sparkSession, none)
+    return known
 
 
-def _with_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
+def _repeated(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    return _level(texts.join(_by_document(_level(texts, seed, window)), KEY), window, seed)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
-    """Places of windows of `window` words that docs (doc_id, text) hold more than once: id, pos or packed (4-byte places), and
+    """Places of windows of `window` words that docs (doc_id, text) hold more than once: id, _row, pos or packed (4-byte places), and
     later: an equal window starts earlier (smaller doc_id, or same document and earlier start). Null ids count as the largest."""
-    texts = _with_ids(docs)
-    seeds = _by_document(_level(texts, seed, window))
-    return _level(texts.join(seeds, "id"), window, seed)
+    return _repeated(_with_keys(docs), window, seed)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, with_text: bool = True) -> DataFrame:
@@ -179,14 +207,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
     columns but for those of these names. kept are the words but for those in a window that also starts earlier, joined by
     one space.
 
-    Windows are judged on the input. A null text has no words; a text under `window` words keeps all. Repeated rows of one
-    doc_id are one document: neither starts earlier than the other. Null ids count as the largest. An empty table gives no row.
+    Windows are judged on the input. A null text has no words; a text under `window` words keeps all. Rows of one doc_id are one
+    document, each with its own words: of equal places in them neither is earlier than the other. Rows with a null id are each a
+    document of their own, and count as the largest; of exact copies one keeps its words. An empty table gives no row.
     """
     made = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-    others = [c for c in docs.columns if c not in (*made, "id", "laters", "packed")] if with_text else []
-    texts = _with_ids(docs)
-    found = _by_document(repeated_windows(docs, window, seed).where("later"), firsts=False)
-    full = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), *[c for c in others if c != "text"]) if with_text else texts
+    others = [c for c in docs.columns if c not in (*made, *KEY, "laters", "packed")] if with_text else []
+    full = _with_keys(docs, tuple(c for c in others if c != "text"))
+    found = _by_document(_repeated(full.select(*KEY, "text"), window, seed).where("later"), firsts=False)
     names = ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
 
@@ -207,23 +235,24 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
                 yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in others)], names=[*names, *others])
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_text, *(full.schema[c] for c in others)])
-    out = full.join(found, "id", "left").mapInArrow(cut, schema)
+    out = full.join(found, KEY, "left").mapInArrow(cut, schema)
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), *names[1:], *others)
 
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """doc_id and longest: the largest of window, 2 x window, 4 x window, ... words at which a window of the document occurs
-    more than once in docs. Levels go on until no candidate survives; each is written, and read by the next."""
-    spark, texts = docs.sparkSession, _with_ids(docs)
+    more than once in docs; a row for each document with a null id. Levels go on until no candidate survives; each is written, and read by the next."""
+    spark, texts = docs.sparkSession, _with_keys(docs)
     length, out = window, None
-    at = written(spark, _by_document(repeated_windows(docs, window, seed)), "repeats")
+    at = written(spark, _by_document(_repeated(texts, window, seed)), "repeats")
     while not at.isEmpty():
-        here = at.select("id", F.lit(length).cast("long").alias("longest"))
+        here = at.select(*KEY, F.lit(length).cast("long").alias("longest"))
         out = here if out is None else out.unionByName(here)
         length *= 2
-        at = written(spark, _by_document(_level(texts.join(at, "id"), length, None)), "repeats")
+        at = written(spark, _by_document(_level(texts.join(at, KEY), length, None)), "repeats")
     if out is None:  # nothing repeats
-        out = at.select("id", F.lit(length).cast("long").alias("longest"))
+        out = at.select(*KEY, F.lit(length).cast("long").alias("longest"))
     else:
         drop_written(spark, at)
-    return out.groupBy(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id")).agg(F.max("longest").alias("longest"))
+    null_id = F.when(F.col("id") == LAST, F.col("_row")).alias("null_id")
+    return out.groupBy(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), null_id).agg(F.max("longest").alias("longest")).drop("null_id")

@@ -66,6 +66,26 @@ def test_substring_dedup(spark, rows):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
+def test_substring_dedup_rows(spark):
+    """Null ids with different texts and exact copies; different texts under one id; windows that only later rows share."""
+    r = random.Random(11)
+    a, b, c, d, e = (" ".join(f"{x}{r.randrange(10**9)}" for _ in range(50)) for x in "abcde")
+    many = [(None, " ".join(f"n{k}x{j}" for j in range(40)), "s") for k in range(30)]
+    docs = [(1, a, "s"), (7, f"{b} {c}", "s"), (7, f"{d} {a}", "s"), (7, f"{b} {e}", "s"), (7, f"{b} {e}", "s"), (None, f"x {a}", "s"), (None, d + " own", "s"), (None, c, "s"), *[(None, "copy " + e.upper(), "s")] * 3, *many]
+    for parts in (1, 5):
+        got = Counter((x["doc_id"], x["kept"], x["n_removed"]) for x in substrings.substring_dedup(table(spark, docs).repartition(parts)).collect())
+        assert got == Counter([
+            (1, a, 0), (7, f"{b} {c}", 0), (7, d, 50), (7, f"{b} {e}", 0), (7, f"{b} {e}", 0), (None, "x", 50), (None, "own", 50), (None, "", 50),
+            (None, "copy " + e.upper(), 0), *[(None, "", 51)] * 2, *[(None, t, 0) for _, t, _ in many],
+        ])
+    tied = [(3, f"{a} {b}", "s"), (3, f"{a} {c}", "s"), (2, f"{d} {a}", "s")]  # each row under id 3 loses a, from whichever task
+    for parts in (1, 3):
+        got = Counter((x["doc_id"], x["kept"]) for x in substrings.substring_dedup(table(spark, tied).repartition(parts)).collect())
+        assert got == Counter([(3, b), (3, c), (2, f"{d} {a}")])
+    longest = Counter((x["doc_id"], x["longest"]) for x in substrings.longest_repeats(table(spark, docs)).collect())
+    assert longest == Counter([(1, 40), (7, 80)] + [(None, 40)] * 6)
+
+
 def test_longest_repeats(spark, rows):
     plain = [(i, t, s) for i, t, s in rows if i is not None][:46]
     got = {r["doc_id"]: r["longest"] for r in substrings.longest_repeats(table(spark, plain)).collect()}
