@@ -21,7 +21,7 @@ from tessera.llm.words import _POWERS, MULTIPLIER, NOT_ALNUM, U64, Words, mix, s
 PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled rows that are fitted at most, and the bytes of a text among them.
 SAMPLE, SAMPLE_BYTES = 8_000, 32_768
-LEAST_DOCS, COMMON, FEATURES, TOXIC_WEIGHT = 5, 0.25, 40_000, 2.0
+LEAST_DOCS, COMMON, TOXIC_WEIGHT = 5, 0.25, 2.0
 LEAST = 0.7
 _END = np.zeros(256, bool)
 _END[list(b".!?\n")] = True
@@ -144,7 +144,7 @@ def train(rows: pa.Table) -> Model:
             counts = [_merged(counts)]
     keys, docs_with = _merged(counts)
     used = np.flatnonzero((docs_with >= LEAST_DOCS) & (docs_with <= COMMON * len(y)))
-    keys = np.sort(keys[used[np.argsort(-docs_with[used], kind="stable")[:FEATURES]]])
+    keys = keys[used]  # sorted, as _merged() gives them
     sents, feats, docs = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     model, at_sent, at_doc = Model(keys, np.zeros(len(keys)), 0.0), 0, 0
     for part in batches:

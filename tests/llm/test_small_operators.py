@@ -8,12 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses, media, mixing, near_dedup, packing, quality, substrings, tokens, toxicity
 from tessera.llm.html_text import extract_text, main_text
 from tessera.llm.queries import tokenizer
+from tessera.llm.words import NOT_ALNUM, Words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, id string"
 
@@ -351,6 +353,18 @@ def test_html(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_text(df).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, main_text(page)[0], len(main_text(page)[0]))]
 
 
+def test_toxicity_rarest_word():
+    """An offending word is fitted although 45,000 other words are in more documents than it."""
+    r, docs = random.Random(3), [[] for _ in range(100)]
+    for k in range(45_000):
+        for i in r.sample(range(100), 8):
+            docs[i].append(f"{k:05d}")
+    made = [(" ".join(d) + (". vile." if i < 6 else "."), int(i < 6)) for i, d in enumerate(docs)]
+    model = toxicity.train(pa.table({"text": [t for t, _ in made], "toxic": [y for _, y in made]}))
+    chance, _ = toxicity.chances(model, Words(pa.array(["vile", "other"]), NOT_ALNUM, lower=True))
+    assert Words(pa.array(["vile"])).hashes[0] in model.features and chance[0] > chance[1]
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     docs, labels = [], []
