@@ -14,6 +14,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,15 +28,62 @@ from tessera.llm.words import slices
 
 MASK = 0xA282EAD8
 #: Entries of a worker's memo, and bytes of a shard's records.
-MEMO, SHARD_BYTES = 500_000, 64 << 20
+MEMO, SHARD_BYTES = 700_000, 64 << 20
 DOCS = 512
 
 
+#: A piece of Latin-1's letters alone, which neither vocabulary cuts, and perhaps one mark after them, which both part from them.
+_WORD = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where it can be seen, else the next from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: b if b in seen else next(rest) for b in range(256)}
+
+
+_LETTER_OF = _byte_letters()
+_SPACE = chr(_LETTER_OF[0x20])
+
+
+class Pieces(dict):
+    """Ids, as bytes, of pieces of text; a piece that isn't held is encoded by the library when it is asked for, a piece of letters by
+    the library's model alone, as there is nothing to normalise or to cut.
+
+    Of `most` pieces and more, the last full generation is kept to take from and a new one begun, so memory is bounded.
+    """
+
+    def __init__(self, tokenizer: object, code: str, most: int, lower: bool):
+        super().__init__()
+        self.tokenizer, self.code, self.most, self.lower, self.before = tokenizer, code, most, lower, {}
+        self.tokens = tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            word = _WORD.fullmatch(piece)
+            if word is None:
+                ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            elif word[3]:
+                ids = self[piece[:-1]] + self[word[3]]
+            else:
+                letters = word[2].lower() if self.lower else word[2]
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(_LETTER_OF)
+                ids = array(self.code, [x.id for x in self.tokens(_SPACE + letters if word[1] else letters)]).tobytes()
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Memo:
     """Ids of the pieces between which the tokenizer never merges, each encoded by the library once as long as it is held.
 
     Both vocabularies split a text before they merge, so a text's ids are those of its pieces in order. `parts` cuts a text
-    into such pieces, or gives None for a text to be encoded whole. Of full memos the last one is kept to take from.
+    into such pieces, or gives None for a text to be encoded whole.
     """
 
     def __init__(self, path: str, most: int = MEMO):
@@ -44,58 +92,70 @@ class Memo:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         drops = "</w>" in str(getattr(self.tokenizer.model, "end_of_word_suffix", "") or "")
         self.parts = words_of if drops else spaced_words_of
-        self.most, self.held, self.before = most, {}, {}
+        self.pieces = Pieces(self.tokenizer, self.code, most, lower=drops)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        cut = [self.parts(x) for x in texts]
-        every = {y for x in cut if x is not None for y in x}
-        new = every.difference(self.held)
-        if len(self.held) + len(new) > self.most:
-            self.held, self.before, new = {}, self.held, every
-        if self.before:
-            known = new.intersection(self.before)
-            self.held.update((x, self.before[x]) for x in known)
-            new -= known
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.held.update(zip(part, self.whole(part), strict=True))
-        get = self.held.__getitem__
-        return [self.whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
-
-
-#: Letters up to a mark that isn't an apostrophe: both vocabularies part them there, and "word", "word." and "word," share a piece.
-_LETTERS = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?=[!-&(-/:-@\[-`{-~])"
-_SPACED, _ODD = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s+"), re.compile(r"[^\S \n\t\r]")
-_WORDS = re.compile(rf"{_LETTERS}|[^ \t\n\r\x0b\x0c]+")
+        get = self.pieces.__getitem__
+        return [self.whole(t) if (x := self.parts(t)) is None else b"".join(map(get, x)) for t in texts]
+
+
+#: One of a path and a process, so that a worker's later tasks find what its earlier ones encoded.
+_memos: dict[str, Memo] = {}
+
+
+def memo(path: str) -> Memo:
+    if path not in _memos:
+        _memos.clear()  # one vocabulary's pieces at a time
+        _memos[path] = Memo(path)
+    return _memos[path]
+
+
+#: Of white space beside " " and "\n": what ASCII has, and how the rest begins in UTF-8.
+_CONTROLS, _WIDE = ("\t", "\r", "\x0b", "\x0c", "\0"), (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_RUNS, _ODD = ("  ", "\n\n", " \n", "\n "), re.compile(r"\s{3}|\s\s\Z|[^\S \n]|\0")
+
+
+def _plain(text: str) -> bool:
+    """If a text's only white space is single spaces and line ends; if in doubt, not."""
+    if any(x in text for x in _CONTROLS) or any(x in text for x in _RUNS):
+        return False
+    return text.isascii() or not any(x in (data := text.encode()) for x in _WIDE)
 
 
 def spaced_words_of(text: str) -> list[str] | None:
-    """For the byte-level vocabulary: a space stays with the word that follows it. Rare white space is left to the library."""
-    return None if _ODD.search(text) else _SPACED.findall(text)
+    """For the byte-level vocabulary: a space stays with the word that follows it, and a line end is by itself. Longer runs of white
+    space, a run that ends the text, and rare white space are left to the library."""
+    if not _plain(text) and _ODD.search(text):
+        return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+#: White space to str.split(), but not to the tokenizer.
+_SEPARATORS, _WORDS = ("\x1c", "\x1d", "\x1e", "\x1f"), re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 def words_of(text: str) -> list[str]:
     """For the vocabulary with word ends, which drops white space."""
-    return _WORDS.findall(text)
+    return _WORDS.findall(text) if any(x in text for x in _SEPARATORS) else text.split()
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows' doc_id and ids with the end id, some hundred rows at a time; a null text is empty."""
-    memo = Memo(path)
+    held = memo(path)
     for batch in batches:
         for part in slices(batch, "text"):
             for at in range(0, part.num_rows, DOCS):
                 rows = part.slice(at, DOCS)
-                ids = memo.encode([x or "" for x in rows.column("text").to_pylist()])
-                yield rows.column("doc_id").to_pylist(), [np.append(np.frombuffer(x, memo.kind), memo.kind.type(end)) for x in ids]
+                ids = held.encode([x or "" for x in rows.column("text").to_pylist()])
+                yield rows.column("doc_id").to_pylist(), [np.append(np.frombuffer(x, held.kind), held.kind.type(end)) for x in ids]
 
 
 def ids_crc32(ids: np.ndarray) -> int:
