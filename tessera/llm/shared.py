@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[sc.applicationId]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or with underscores before it, so that it differs from all of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
@@ -32,12 +40,12 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     that was written. Row order and partitioning are those of the files."""
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
 
 
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table from written() that nothing reads any more."""
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/tessera/" in path:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Delete the files of a table that written() returned and nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.__dict__["_tessera_path"])
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
