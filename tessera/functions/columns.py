@@ -144,3 +144,25 @@ def map_rectangle(text: Column) -> Column:
     for x in n:
         ok = ok & x.between(0, WORD)
     return F.when(ok, made)
+
+
+# Kinds of entries by the number that stands for them; any other number is a bin.
+HINTS = ("bin", "shp", "pal", "aud", "vqa", "wsa", "tmp", "fnt", "ini", "mix")
+
+
+def extension_of_hint(hint: Column) -> Column:
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in HINTS]), hint.cast("int")), F.lit(HINTS[0]))
+
+
+def hint_of_extension(extension: Column) -> Column:
+    """0 for an extension that has no number."""
+    place = F.array_position(F.array(*[F.lit(x) for x in HINTS]), extension) - 1
+    return F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("int")
+
+
+def display_name(format: Column) -> Column:
+    """A format's name as it is shown: with hyphens, and some in full."""
+    # Formats that are shown by another name.
+    shown = {"bin": "bin-td", "str": "sage-str"}
+    other = F.create_map(*[F.lit(x) for pair in shown.items() for x in pair])
+    return F.coalesce(other[format], F.replace(format, F.lit("_"), F.lit("-")))

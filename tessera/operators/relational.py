@@ -51,12 +51,18 @@ def run_segments(df: DataFrame, group: list[str], order: list[str], value: str,
     return out.where(F.col("n") >= least)
 
 
-def unique_names(entries: DataFrame, group: list[str], name: str, order: list[str]) -> DataFrame:
-    """Names made unique without regard to case: from the second on, __2, __3, ... before the extension."""
+def unique_names(entries: DataFrame, group: list[str], name: str, order: list[str], instead: Column | None = None) -> DataFrame:
+    """Names made unique without regard to case: from the second on, __2, __3, ... before the extension.
+
+    With `instead`, the second of a name takes that one as it is, and __2, __3, ... go to it from the third on, or from the second
+    where `instead` is the name itself.
+    """
     w = Window.partitionBy(*group, F.lower(name)).orderBy(*order)
-    n = F.row_number().over(w)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 1)
-    return entries.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__"), F.col("_n").cast("string"), F.coalesce(ext, F.lit(""))))).drop("_n")
+    df = entries.withColumn("_n", F.row_number().over(w)).withColumn("_base", F.col(name) if instead is None else instead)
+    later = F.col("_n") if instead is None else F.col("_n") - F.when(F.lower("_base") == F.lower(name), 0).otherwise(1)
+    stem, ext = F.regexp_extract("_base", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("_base", r"(\.[^.]*)?$", 1)
+    numbered = F.when(later == 1, F.col("_base")).otherwise(F.concat(stem, F.lit("__"), later.cast("string"), F.coalesce(ext, F.lit(""))))
+    return df.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(numbered)).drop("_n", "_base")
 
 
 def sizes_from_offsets(df: DataFrame, group: list[str], offset: str, order: list[str], end: Column) -> DataFrame:
@@ -93,23 +99,55 @@ def delta_times(df: DataFrame, group: list[str], time: str, order: list[str]) ->
     return df.withColumn("delta", F.col(time) - F.coalesce(F.lag(time).over(w), F.lit(0)))
 
 
-def nearest(left: DataFrame, right: DataFrame, at: str, to: str, key: str, reach: int = 10_000) -> DataFrame:
+def blocked(df: DataFrame, at: str, name: str) -> DataFrame:
+    """df with `name`, a number that rises with the number `at`: about as many blocks as shuffles have partitions, of about as many rows
+    each, however the numbers are spread. Equal numbers are in one block. Runs a job for the bounds, which are all that
+    comes to the driver."""
+    from pyspark.ml.feature import Bucketizer
+
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.withColumn("_at", F.col(at).cast("double"))
+    bounds = sorted(set(own.approxQuantile("_at", [i / many for i in range(1, many)], 0.2 / many))) if many > 1 else []
+    splits = [float("-inf"), *bounds, float("inf")]
+    if len(splits) < 3:
+        return own.withColumn(name, F.lit(0.0)).drop("_at")
+    return Bucketizer(splits=splits, inputCol="_at", outputCol=name, handleInvalid="keep").transform(own).drop("_at")
+
+
+def numbered(df: DataFrame, group: list[str], at: str, order: list[str], name: str) -> DataFrame:
+    """df with `name`, each row's place from 1 on within its group in the order of `order`, the first of which must rise with the number `at`.
+
+    A group is numbered in blocks, so one with a third of all rows is spread over many tasks; a table of one row per group and
+    block hands on how many rows come before.
+    """
+    df = blocked(df, at, "_b")
+    counts = df.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    counts = counts.select(*group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_earlier"))
+    out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)))
+    same = out["_b"].eqNullSafe(counts["_b"])
+    for g in group:
+        same &= out[g].eqNullSafe(counts[g])
+    return out.join(counts, same).select(*[out[c] for c in df.columns if c != "_b"], (F.col("_n") + F.col("_earlier")).alias(name))
+
+
+def nearest(left: DataFrame, right: DataFrame, at: str, to: str, key: str) -> DataFrame:
     """For each row of left the key of its nearest row of right, ties to the smaller key; whole numbers on both sides.
 
-    Both sides are laid on one line that is cut into blocks of `reach`; within a block a window finds the points before and after
-    each row, and a table of one row per block hands on the nearest points of other blocks. No row meets all others, and
-    neither side has to be small.
+    Each different number of both sides is laid on one line, which is cut into blocks of about as many numbers. Within a block one window
+    looks back and one, sorted the other way, ahead, over frames that end at the current row; a table of one row per block
+    hands on the nearest points of other blocks. Rows of left get what was found by their number, so equal ones don't meet in one
+    task before, no row meets all others, and neither side has to be small.
     """
     points = right.where(F.col(to).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(to).alias("_x")).agg(F.min(key).alias("_k"))
-    rows = left.select(F.col(at).alias("_x"), F.struct(*left.columns).alias("_l"))
-    both = rows.withColumn("_k", F.lit(None).cast(points.schema["_k"].dataType)).unionByName(points, allowMissingColumns=True)
-    both = both.withColumn("_b", F.floor(F.col("_x") / reach)).withColumn("_p", F.when(F.col("_k").isNotNull(), F.struct("_x", "_k")))
-    edges = both.groupBy("_b").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
-    every = Window.orderBy("_b")  # one row per block
-    edges = edges.select("_b", F.last("_last", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.first("_first", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
-    own = Window.partitionBy("_b").orderBy("_x", F.col("_k").asc_nulls_last())
-    both = both.withColumn("_before", F.last("_p", True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_p", True).over(own.rowsBetween(0, Window.unboundedFollowing)))
-    both = both.where("_l is not null").join(edges, "_b", "left")
-    lo, hi = F.coalesce("_before", "_lo"), F.coalesce("_after", "_hi")
+    asked = left.where(F.col(at).isNotNull()).select(F.col(at).alias("_x"), F.lit(None).cast(points.schema["_k"].dataType).alias("_k"))
+    line = blocked(asked.unionByName(points).groupBy("_x").agg(F.min("_k").alias("_k")), "_x", "_b")
+    line = line.withColumn("_p", F.when(F.col("_k").isNotNull(), F.struct("_x", "_k")))
+    edges = line.groupBy("_b").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))  # one row per block
+    edges = edges.select("_b", F.last("_last", True).over(up).alias("_lo"), F.last("_first", True).over(down).alias("_hi"))
+    back, ahead = (Window.partitionBy("_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_x"), F.desc("_x")))
+    line = line.withColumn("_before", F.last("_p", True).over(back)).withColumn("_after", F.last("_p", True).over(ahead)).join(edges, "_b")
     far = lambda p: F.when(p.isNotNull(), F.struct(F.abs(p["_x"] - F.col("_x")).alias("distance"), p["_k"].alias(key)))
-    return both.withColumn("_n", F.least(far(lo), far(hi))).select("_l.*", "_n.*")
+    found = line.select("_x", F.least(far(F.coalesce("_before", "_lo")), far(F.coalesce("_after", "_hi"))).alias("_n"))
+    return left.join(found, F.col(at) == F.col("_x"), "left").select(*[left[c] for c in left.columns], "_n.*")

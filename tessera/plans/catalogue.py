@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import relational as R
+from tessera.plans import verbs
 from tessera.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,8 @@ def q05_adjacent_overlap(spark, d):
 
 @query("select doc_id, sha256(text) as sha256 from documents")
 def q06_fingerprint(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return verbs.fingerprint(files).withColumnRenamed("path", "doc_id")
 
 
 @query("""with c as (select *, case when event_type is not distinct from lag(event_type) over o and row_number() over o > 1 then 0 else 1 end as c from events window o as (partition by user_id order by ts, event_id)),
@@ -186,7 +188,7 @@ def q21_note_of_frequency(spark, d):
 
 @query("select p_partkey, p_name from part where contains(lower(p_name), 're')")
 def q22_filter_ignoring_case(spark, d):
-    return table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lit("re"))).select("p_partkey", "p_name")
+    return verbs.filtered(table(spark, d, "part"), "p_name", "RE").select("p_partkey", "p_name")
 
 
 @query("""with k as (select vec_id, embedding, unnest(range(0, (len(embedding) - 8) // 4 + 1))::int as k from embeddings where len(embedding) >= 8)
@@ -200,7 +202,7 @@ def q23_sliding_windows(spark, d):
 
 @query("select o_custkey, count(*) as entries, sum(o_orderkey)::bigint as bytes from orders group by o_custkey")
 def q24_archive_footer(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("entries"), F.sum("o_orderkey").alias("bytes"))
+    return verbs.footer(table(spark, d, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("size"))).withColumnRenamed("path", "o_custkey")
 
 
 @query("select p_partkey, (p_size & 63) << 2 as plain, ((p_size & 63) << 2) | ((p_size & 63) >> 4) as full_range, p_size >> 2 as six from part")
@@ -226,15 +228,16 @@ def q28_extension(spark, d):
     return table(spark, d, "pages").select("page_id", C.extension(F.col("url")).alias("extension"))
 
 
-@query("""with r as (select c_nationkey, c_mktsegment as section, 'K' || (c_custkey % 7) as key, c_name as value, c_custkey from customer)
-select c_nationkey, section, key, arg_max(value, c_custkey) as value, (count(*))::bigint as times from r group by 1, 2, 3""")
+@query("""with r as (select c_nationkey || '/' || c_custkey // 100 as file, c_mktsegment as section, 'K' || (c_custkey % 7) as key, c_name as value, c_custkey from customer)
+select file, section, key, arg_max(value, c_custkey) as value, (count(*))::bigint as times from r group by 1, 2, 3""")
 def q29_ini_text(spark, d):
-    """INI texts are written from the rows, then parsed again."""
-    r = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.concat(F.lit("K"), (F.col("c_custkey") % 7).cast("string"), F.lit(" = "), "c_name", F.lit(" ; remark")).alias("kv"))
-    text = r.groupBy("c_nationkey").agg(F.expr("array_join(transform(array_sort(collect_list(struct(c_custkey, c_mktsegment, kv))), x -> concat('[', x.c_mktsegment, ']\\n', x.kv)), '\\n')").alias("text"))
-    parsed = R.ini_table(text, ["c_nationkey"])
-    times = r.groupBy("c_nationkey", F.col("c_mktsegment").alias("section"), F.trim(F.split_part("kv", F.lit("="), F.lit(1))).alias("key")).agg(F.count("*").alias("times"))
-    return parsed.select("c_nationkey", "section", "key", "value").join(times, ["c_nationkey", "section", "key"])
+    """INI texts are written from the rows, some dozens a file, then parsed again."""
+    file = F.concat_ws("/", F.col("c_nationkey").cast("string"), C.whole_div(F.col("c_custkey"), F.lit(100)).cast("string"))
+    r = table(spark, d, "customer").select(file.alias("file"), "c_mktsegment", "c_custkey", F.concat(F.lit("K"), (F.col("c_custkey") % 7).cast("string"), F.lit(" = "), "c_name", F.lit(" ; remark")).alias("kv"))
+    text = r.groupBy("file").agg(F.expr("array_join(transform(array_sort(collect_list(struct(c_custkey, c_mktsegment, kv))), x -> concat('[', x.c_mktsegment, ']\\n', x.kv)), '\\n')").alias("text"))
+    parsed = R.ini_table(text, ["file"])
+    times = r.groupBy("file", F.col("c_mktsegment").alias("section"), F.trim(F.split_part("kv", F.lit("="), F.lit(1))).alias("key")).agg(F.count("*").alias("times"))
+    return parsed.select("file", "section", "key", "value").join(times, ["file", "section", "key"])
 
 
 @query("""with t as (select user_id, event_id, epoch_us(ts) // 1000 as ms from events)
@@ -298,8 +301,8 @@ def q37_map_bounds(spark, d):
 @query("""with r as (select *, (row_number() over (partition by event_type order by ts, event_id) - 1) // 64 as chunk from events)
 select event_type, chunk, count(*) as n, min(event_id) as least_id, max(event_id) as largest_id from r group by 1, 2""")
 def q38_count_windows(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    r = table(spark, d, "events").withColumn("chunk", C.whole_div((F.row_number().over(w) - 1).cast("long"), F.lit(64)))
+    e = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = R.numbered(e, ["event_type"], "at", ["ts", "event_id"], "place").withColumn("chunk", C.whole_div((F.col("place") - 1).cast("long"), F.lit(64)))
     return r.groupBy("event_type", "chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("least_id"), F.max("event_id").alias("largest_id"))
 
 

@@ -170,17 +170,19 @@ def iso(data: bytes, **_: object) -> Iterator[dict]:
             pos += length
 
 
+#: The most entries of an index, and the hash under which an archive holds the names of its entries.
+MOST_ENTRIES, NAMES_ENTRY = 131_072, 0x54C2D545
+
+
 def names_blob(data: bytes, **_: object) -> Iterator[dict]:
-    """Names and descriptions as texts that end in NUL, after their number."""
-    v = View(data, "names")
-    count, at = v.u32(0), 4
-    for i in range(capped(count, 131_072, "names")):
-        if at >= len(v):
-            return
-        name = v.text0(at)
-        note = v.text0(at + len(name) + 1)
-        at += len(name) + len(note) + 2
-        yield {"idx": i, "name": lossy(name), "description": lossy(note)}
+    """Names and descriptions as texts that end in NUL, after their number. A list that is cut off ends with the last whole pair; empty
+    names don't count."""
+    if len(data) < 4:
+        return
+    parts = data[4:].split(b"\0")[:-1]  # what follows the last NUL has no end
+    for i in range(min(int.from_bytes(data[:4], "little"), MOST_ENTRIES, len(parts) // 2)):
+        if parts[2 * i]:
+            yield {"idx": i, "name": lossy(parts[2 * i]), "description": lossy(parts[2 * i + 1])}
 
 
 # Type hints of the trailing block, by their number.
@@ -188,14 +190,18 @@ HINTS = ("bin", "shp", "pal", "aud", "vqa", "wsa", "tmp", "fnt", "ini", "mix")
 
 
 def cnfm(data: bytes, **_: object) -> Iterator[dict]:
-    """Names and kinds of entries, in a block of its own at a file's end."""
-    v = View(data, "CNFM block")
-    need(v.take(0, 4) == b"CNFM", "magic", "CNFM block")
-    _version, count = v.fields("<HH", 4)
+    """Names and kinds of entries, in a block of its own at a file's end. Without the mark, or of another version, it has none; where it
+    is cut off it ends, and the entries before stay."""
+    if len(data) < 8 or data[:4] != b"CNFM" or int.from_bytes(data[4:6], "little") != 1:
+        return
     at = 8
-    for i in range(count):
-        crc, hint, n = v.fields("<IBH", at)
-        yield {"idx": i, "crc": crc, "type_hint": hint, "name": lossy(v.take(at + 7, n))}
+    for i in range(int.from_bytes(data[6:8], "little")):
+        if at + 7 > len(data):
+            return
+        crc, hint, n = struct.unpack_from("<IBH", data, at)
+        if at + 7 + n > len(data):
+            return
+        yield {"idx": i, "crc": crc, "type_hint": hint, "name": lossy(data[at + 7 : at + 7 + n])}
         at += 7 + n
 
 

@@ -16,6 +16,11 @@ class DecodeError(ValueError):
         return {"kind": self.kind, "context": self.context, "value": self.value, "limit": self.limit}
 
 
+def as_error(e: Exception) -> DecodeError:
+    """What a decoder raised, as the error of its file: reads beyond the end and values out of range that no check foresaw too."""
+    return e if isinstance(e, DecodeError) else DecodeError("codec", f"{type(e).__name__}: {e}")
+
+
 def need(ok: bool, kind: str, context: str, value: int | None = None, limit: int | None = None) -> None:
     if not ok:
         raise DecodeError(kind, context, value, limit)

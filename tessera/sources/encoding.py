@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -204,8 +205,31 @@ def _number(key: int, value: int) -> bytes:
     return _element(key, value.to_bytes(max(1, (value.bit_length() + 7) // 8), "big"))
 
 
+#: Fixed value: milliseconds that frames of a cluster are after its first at most.
+CLUSTER_MS = 2000
+
+
+def clusters_of(times: list[int], most: int = CLUSTER_MS) -> list[int]:
+    """Of frames' times in order the cluster of each: a new one starts where a time is more than `most` after the start of the last."""
+    out, start = [], None
+    for t in times:
+        if start is None or t - start > most:
+            start = t
+            out.append(out[-1] + 1 if out else 0)
+        else:
+            out.append(out[-1])
+    return out
+
+
+def gif(data: bytes, **_: object) -> Iterator[dict]:
+    """Whole pictures after each frame."""
+    frames, delay = gif_frames(data)
+    for i, x in enumerate(frames):
+        yield {"frame": i, "width": x.shape[1], "height": x.shape[0], "delay": delay, "rgba": x.tobytes()}
+
+
 def mkv_of(frames: list[np.ndarray], fps: int, audio: list[int] | None = None, rate: int = 22_050, channels: int = 1) -> bytes:
-    """Matroska with uncompressed 24-bit frames (BGR, from the top) and 16-bit sound, a cluster per frame."""
+    """Matroska with uncompressed 24-bit frames (BGR, from the top) and 16-bit sound; a cluster holds frames of at most CLUSTER_MS."""
     h, w = frames[0].shape[:2]
     head = _element(0x1A45DFA3, _number(0x4286, 1) + _number(0x42F7, 1) + _number(0x42F2, 4) + _number(0x42F3, 8) + _element(0x4282, b"matroska") + _number(0x4287, 4) + _number(0x4285, 2))
     info = _element(0x1549A966, _number(0x2AD7B1, 1_000_000) + _element(0x4D80, b"tessera") + _element(0x5741, b"tessera"))
@@ -216,10 +240,17 @@ def mkv_of(frames: list[np.ndarray], fps: int, audio: list[int] | None = None, r
         tracks += _element(0xAE, _number(0xD7, 2) + _number(0x73C5, 2) + _number(0x83, 2) + _element(0x86, b"A_PCM/INT/LIT") + sound)
     cuts = media.samples_per_frame(len(audio) // channels, len(frames), rate, fps) if audio else []
     body = info + _element(0x1654AE6B, tracks)
+    times = [i * 1000 // max(1, fps) for i in range(len(frames))]
+    clusters = clusters_of(times)
+    start, cluster = 0, b""
     for i, f in enumerate(frames):
-        cluster = _number(0xE7, i * 1000 // max(1, fps)) + _element(0xA3, b"\x81\0\0\x80" + f[..., 2::-1].astype(np.uint8).tobytes())
+        if not cluster:
+            start, cluster = times[i], _number(0xE7, times[i])
+        at = struct.pack(">h", times[i] - start)
+        cluster += _element(0xA3, b"\x81" + at + b"\x80" + f[..., 2::-1].astype(np.uint8).tobytes())
         if audio:
             a, n = cuts[i]
-            cluster += _element(0xA3, b"\x82\0\0\x80" + np.array(audio[a * channels : (a + n) * channels], "<i2").tobytes())
-        body += _element(0x1F43B675, cluster)
+            cluster += _element(0xA3, b"\x82" + at + b"\x80" + np.array(audio[a * channels : (a + n) * channels], "<i2").tobytes())
+        if i + 1 == len(frames) or clusters[i + 1] != clusters[i]:
+            body, cluster = body + _element(0x1F43B675, cluster), b""
     return head + _element(0x18538067, body)

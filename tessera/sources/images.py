@@ -16,7 +16,6 @@ FRAME = "idx int, x int, y int, width int, height int, format int, offset long,
 
 def pal(data: bytes, **_: object) -> Iterator[dict]:
     need(len(data) == 768, "size", "PAL bytes", len(data), 768)
-    need(max(data) <= 63, "size", "PAL colour", max(data), 63)
     for i in range(256):
         yield dict(zip(("idx", "r", "g", "b"), (i, *data[3 * i : 3 * i + 3]), strict=True))
 

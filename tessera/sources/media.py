@@ -280,6 +280,7 @@ def midi(data: bytes, **_: object) -> Iterator[dict]:
             need(status >= 128, "magic", "MIDI status")
             kind, args = status >> 4, b""
             if status == 0xFF:
+                need(pos < n, "eof", "MIDI meta event", pos, n)
                 meta, pos = body[pos], pos + 1
                 k, used = vlq_read(body, pos)
                 args, pos = body[pos + used : pos + used + k], pos + used + k
@@ -536,18 +537,29 @@ def png_pixels(data: bytes) -> np.ndarray:
     return np.concatenate([grey, out[..., -1:] if c in (2, 4) else full], 2)
 
 
+def png_palette(data: bytes) -> list[tuple[int, ...]] | None:
+    """The colours of an indexed PNG in their own order; none of another kind."""
+    v, at = View(data, "PNG"), 8
+    while at + 8 <= len(data):
+        n, name = v.fields(">I4s", at)
+        if name == b"IHDR" and v.u8(at + 8 + 9) != 3:
+            return None
+        if name == b"PLTE":
+            return [tuple(x) for x in np.frombuffer(v.take(at + 8, n), np.uint8).reshape(-1, 3).tolist()]
+        at += 12 + n
+    return None
+
+
 def png(data: bytes, **_: object) -> Iterator[dict]:
     x = png_pixels(data)
     yield {"width": x.shape[1], "height": x.shape[0], "rgba": x.tobytes()}
 
 
-def avi(data: bytes, **_: object) -> Iterator[dict]:
-    """Frames of uncompressed video of 24 or 32 bits, from the bottom row up, as RGBA."""
+def _avi_chunks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """Name, place and size of each chunk that isn't a list, in the file's order."""
     v = View(data, "AVI")
     need(v.take(0, 4) == b"RIFF" and v.take(8, 4) == b"AVI ", "magic", "AVI header")
-    micros, size, frames = None, None, 0
     todo = [(12, len(data))]
-    kind = b""
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:
@@ -558,25 +570,51 @@ def avi(data: bytes, **_: object) -> Iterator[dict]:
                 todo.append((body + n + n % 2, end))
                 at, end = body + 4, body + n
                 continue
-            if name == b"avih":
-                micros = v.u32(body)
-            elif name == b"strh":
-                kind = data[body : body + 4]
-            elif name == b"strf" and kind == b"vids":
-                _s, w, h, _p, bits, packed = v.fields("<IiiHHI", body)
-                need(packed == 0 and bits in (24, 32), "codec", "AVI pixels", bits, 32)
-                size = (w, h, bits)
-            elif name in (b"00db", b"00dc") and size:
-                w, h, bits = size
-                stride = (w * bits // 8 + 3) // 4 * 4
-                need(n == stride * abs(h), "size", "AVI frame", n, stride * abs(h))
-                x = np.frombuffer(data, np.uint8, n, body).reshape(abs(h), stride)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)
-                x = (x[::-1] if h > 0 else x)[..., 2::-1]
-                yield {"frame": frames, "width": w, "height": abs(h), "micros_per_frame": micros, "rgba": np.concatenate([x, np.full((*x.shape[:2], 1), 255, np.uint8)], 2).tobytes()}
-                frames += 1
+            yield name, body, n
             at = body + n + n % 2
 
 
+def avi(data: bytes, **_: object) -> Iterator[dict]:
+    """Frames of uncompressed video of 24 or 32 bits, from the bottom row up, as RGBA."""
+    v = View(data, "AVI")
+    micros, size, frames, kind = None, None, 0, b""
+    for name, body, n in _avi_chunks(data):
+        if name == b"avih":
+            micros = v.u32(body)
+        elif name == b"strh":
+            kind = data[body : body + 4]
+        elif name == b"strf" and kind == b"vids":
+            _s, w, h, _p, bits, packed = v.fields("<IiiHHI", body)
+            need(packed == 0 and bits in (24, 32), "codec", "AVI pixels", bits, 32)
+            size = (w, h, bits)
+        elif name in (b"00db", b"00dc") and size:
+            w, h, bits = size
+            stride = (w * bits // 8 + 3) // 4 * 4
+            need(n == stride * abs(h), "size", "AVI frame", n, stride * abs(h))
+            x = np.frombuffer(data, np.uint8, n, body).reshape(abs(h), stride)[:, : w * bits // 8].reshape(abs(h), w, bits // 8)
+            x = (x[::-1] if h > 0 else x)[..., 2::-1]
+            yield {"frame": frames, "width": w, "height": abs(h), "micros_per_frame": micros, "rgba": np.concatenate([x, np.full((*x.shape[:2], 1), 255, np.uint8)], 2).tobytes()}
+            frames += 1
+
+
+def avi_audio(data: bytes) -> tuple[list[int], int, int]:
+    """Samples of 16 bits, rate and channels of the sound; 8-bit samples are widened. No samples if there is none, or if it is compressed."""
+    v, kind, form, parts = View(data, "AVI sound"), b"", None, []
+    for name, body, n in _avi_chunks(data):
+        if name == b"strh":
+            kind = data[body : body + 4]
+        elif name == b"strf" and kind == b"auds":
+            code, channels, rate, _bytes, _align, bits = v.fields("<HHIIHH", body)
+            form = (channels, rate, bits) if code == 1 and bits in (8, 16) else None
+        elif name[2:] == b"wb" and form:
+            parts.append(data[body : body + n])
+    if form is None:
+        return [], 22_050, 1
+    whole = b"".join(parts)
+    samples = (np.frombuffer(whole, np.uint8).astype(np.int64) - 128) * 256 if form[2] == 8 else np.frombuffer(whole[: len(whole) // 2 * 2], "<i2")
+    return samples.tolist(), form[1], form[0]
+
+
 def avi_of(frames: list[np.ndarray], fps: int, audio: list[int] | None = None, rate: int = 22_050, channels: int = 1) -> bytes:
     """Uncompressed: 24-bit frames (height x width x 3, RGB), then 16-bit sound interleaved by frame."""
     h, w = frames[0].shape[:2] if frames else (0, 0)

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.session import ship
-from tessera.sources.binary import DecodeError
+from tessera.sources.binary import as_error
 from tessera.sources.registry import FORMATS
 
 ERROR = "struct<kind:string,context:string,value:long,limit:long>"
@@ -54,10 +54,10 @@ def decoded(df: DataFrame, name: str, content: str = "content", path: str = "pat
                         if len(rows) >= ROWS:
                             yield pa.RecordBatch.from_pylist(rows, arrow)
                             rows = []
-                except DecodeError as e:
+                except Exception as e:  # noqa: BLE001  a damaged file is a row, not the job's end
                     if mode == "FAILFAST":
                         raise
-                    rows.append({"path": at.as_py(), "_error": e.row()})
+                    rows.append({"path": at.as_py(), "_error": as_error(e).row()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
@@ -68,10 +68,47 @@ def read_format(spark: SparkSession, name: str, path: str, glob: str = "*", mode
     return decoded(files(spark, path, glob), name, mode=mode, **options)
 
 
-def entries_with_payload(df: DataFrame, name: str) -> DataFrame:
-    """Entries of the archives in df (path, content) with their bytes: cut out beside the index, so no join and no second read."""
-    index = decoded(df, name).where("_error is null")
-    return index.join(df.select("path", "content"), "path").withColumn("payload", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).drop("content", "_error")
+def entries_with_payload(df: DataFrame, name: str, only: int | None = None) -> DataFrame:
+    """Entries of the archives in df (path, content) with their bytes, cut out beside the index in one pass over the files; with `only`,
+    those of the entry with that hash alone. Archives that can't be read give no row."""
+    ship(df.sparkSession)
+    schema = StructType.fromDDL(f"path string, {FORMATS[name].schema}, payload binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not data.is_valid:
+                    continue
+                data = data.as_buffer()
+                try:
+                    index = list(FORMATS[name].decode(data.to_pybytes()))
+                except Exception:  # noqa: BLE001
+                    continue
+                for row in index:
+                    own = data.slice(row["offset"], row["size"]).to_pybytes() if only is None or row["crc"] == only else None
+                    rows.append({"path": at, **row, "payload": own})
+                    held += len(own or b"")
+                    if len(rows) >= ROWS or held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return df.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, schema)
+
+
+#: What Hadoop calls a store that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
+
+def store_uri(path: str) -> str:
+    """A path as Spark writes it, as pyarrow reads it."""
+    if "://" not in path:
+        return f"file://{path.removeprefix('file:')}"
+    scheme, rest = path.split("://", 1)
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}"
 
 
 def bag_payload(idx: DataFrame, bags: DataFrame) -> DataFrame:
@@ -93,7 +130,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Part]:
         import pyarrow.fs as pafs
 
-        fs, at = pafs.FileSystem.from_uri(self.options["path"]) if "://" in self.options["path"] else (pafs.LocalFileSystem(), self.options["path"].removeprefix("file:"))
+        fs, at = pafs.FileSystem.from_uri(store_uri(self.options["path"]))
         info = fs.get_file_info(at)
         found = [x.path for x in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if x.is_file] if not info.is_file else [at]
         return [_Part(x) for x in sorted(found)]
@@ -101,7 +138,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Part) -> Iterator[tuple]:
         import pyarrow.fs as pafs
 
-        fs = pafs.FileSystem.from_uri(self.options["path"])[0] if "://" in self.options["path"] else pafs.LocalFileSystem()
+        fs = pafs.FileSystem.from_uri(store_uri(self.options["path"]))[0]
         with fs.open_input_file(partition.path) as f:
             data = f.read()
         columns = self.columns
@@ -109,10 +146,10 @@ class _Reader(DataSourceReader):
         try:
             for row in FORMATS[self.name].decode(data, **options):
                 yield tuple(({"path": partition.path} | row).get(c) for c in columns)
-        except DecodeError as e:
+        except Exception as e:  # noqa: BLE001
             if str(self.options.get("mode", "")).upper() == "FAILFAST":
                 raise
-            yield tuple(({"path": partition.path, "_error": tuple(e.row().values())}).get(c) for c in columns)
+            yield tuple(({"path": partition.path, "_error": tuple(as_error(e).row().values())}).get(c) for c in columns)
 
 
 def _source(format_name: str) -> type[DataSource]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from tessera.functions.codecs import lcw_decompress
-from tessera.sources import archives, images, media, models, texts
+from tessera.sources import archives, encoding, images, media, models, texts
 from tessera.sources.binary import DecodeError
 
 
@@ -48,7 +48,7 @@ def _all() -> dict[str, Format]:
         Format("xmi", m.xmi, "idx int, timbres array<struct<patch:int,bank:int>>, events binary"),
         Format("adl", m.adl, "kind string, idx int, registers binary, speed int, program int, offset long, writes binary"),
         Format("notes", m.transcribed, "idx int, note int, onset double, duration double, velocity int"),
-        Format("png", m.png, "width int, height int, rgba binary"), Format("avi", m.avi, "frame int, width int, height int, micros_per_frame long, rgba binary"),
+        Format("png", m.png, "width int, height int, rgba binary"), Format("gif", encoding.gif, "frame int, width int, height int, delay int, rgba binary"), Format("avi", m.avi, "frame int, width int, height int, micros_per_frame long, rgba binary"),
     ]
     return {f.name: f for f in rows}
 

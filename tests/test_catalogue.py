@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tessera.plans import format_queries  # noqa: F401  its queries join the catalogue's
 from tessera.plans.catalogue import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -28,7 +29,8 @@ def test_equals_sql(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     columns = sorted(rel.columns)
     assert columns == sorted(df.columns)
-    theirs = Counter(duck.sql(f"select {', '.join(columns)} from ({ORACLE[name]})").fetchall())
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    theirs = Counter(duck.sql(f"select {quoted} from ({ORACLE[name]})").fetchall())
     assert mine == theirs
 
 
