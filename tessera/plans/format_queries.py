@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.functions.udfs import register_codecs
+from tessera.operators import lookups
 from tessera.plans import verbs
 from tessera.plans.catalogue import ORACLE, QUERIES, crc_sql, query
 from tessera.session import ship, table
-from tessera.sources import archives, images, media, texts
+from tessera.sources import archives, encoding, images, media, texts
 from tessera.sources.reading import bag_payload, decoded, entries_with_payload
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -419,3 +420,106 @@ def q77_entries_by_name_and_ordinal(spark, d):
     found = verbs.lookup(index, asked, "wanted").where("idx % 2 = 1")
     return found.select("path", "idx", "o_orderkey", said("payload"))
 
+
+
+GREY = bytes(v for i in range(256) for v in (i % 64, i // 64, 0))
+
+
+@query(f"with r as ({ROWS_SQL}) select path, idx as frame, idx::bigint * 1000000000 // 15 as timestamp_ns, pixels from r")
+def q78_vqa_frames(spark, d):
+    """Video of block code books, encoded and decoded."""
+    files = built(orders(spark, d).select("path", "o_orderkey", "pixels"), lambda items: encoding.encode_vqa([r["pixels"].encode() for r in items], GREY, 8, 4, fps=15, group=1))
+    return decoded(files, "vqa").select("path", "frame", "timestamp_ns", said("pixels"))
+
+
+@query(f"with r as ({ROWS_SQL}), n as (select path, count(*) as n from r group by path) select r.path, idx as frame, pixels from r join n on r.path = n.path where idx >= least(2, n - 1)")
+def q79_vqa_seek(spark, d):
+    """From the frame that is shown at a time, or the last one, on: taken step by step."""
+    files = built(orders(spark, d).select("path", "o_orderkey", "pixels"), lambda items: encoding.encode_vqa([r["pixels"].encode() for r in items], GREY, 8, 4, fps=15, group=1))
+    return decoded(files, "vqa_stream", startNanos=2 * 66_666_667).select("path", "frame", said("pixels"))
+
+
+@query(f"with r as ({ROWS_SQL}) select path, idx as frame, regexp_replace(hex(substr(pixels, 1, 24)), '(.{{6}})', '\\1FF', 'g') as rgba, 100000::bigint as micros_per_frame from r")
+def q80_avi_frames(spark, d):
+    files = built(orders(spark, d).select("path", "o_orderkey", "pixels"), lambda items: media.avi_of([np.frombuffer(r["pixels"][:24].encode(), np.uint8).reshape(2, 4, 3) for r in items], 10))
+    return decoded(files, "avi").select("path", "frame", F.hex("rgba").alias("rgba"), "micros_per_frame")
+
+
+@query(f"with r as ({ROWS_SQL}) select path, idx, 1 as block_type, 10000::bigint as sample_rate, body as data from r")
+def q81_voc_blocks(spark, d):
+    def sound(items: list[dict]) -> bytes:
+        head = b"Creative Voice File\x1a" + struct.pack("<HHH", 26, 0x010A, (~0x010A + 0x1234) & 0xFFFF)
+        return head + b"".join(b"\1" + (len(r["body"]) + 2).to_bytes(3, "little") + bytes([156, 0]) + r["body"].encode() for r in items) + b"\0"
+
+    out = decoded(built(orders(spark, d).select("path", "o_orderkey", "body"), sound), "voc").where("block_type = 1")
+    return out.select("path", "idx", "block_type", "sample_rate", F.substring("data", 3, 1 << 20).cast("string").alias("data"))
+
+
+@query(f"with r as ({ROWS_SQL}) select path, idx as frame, 0 as section, (o_orderkey % 1000)::double as x, -1.5::double as y from r")
+def q82_transforms(spark, d):
+    def motion(items: list[dict]) -> bytes:
+        return struct.pack("<16sII", b"a.hva", len(items), 1) + b"body".ljust(16, b"\0") + b"".join(struct.pack("<12f", r["o_orderkey"] % 1000, *[0] * 10, -1.5) for r in items)
+
+    out = decoded(built(orders(spark, d).select("path", "o_orderkey"), motion), "hva")
+    return out.select("path", "frame", "section", F.col("matrix")[0].cast("double").alias("x"), F.col("matrix")[11].cast("double").alias("y"))
+
+
+def _ini_files(spark: SparkSession, d: str) -> DataFrame:
+    def text(items: list[dict]) -> bytes:
+        return "".join(f"[Sec{r['body'][0]}]\nKey{r['name'][-1]}={r['o_orderkey']}\n" for r in items).encode()
+
+    return decoded(built(orders(spark, d).select("path", "o_orderkey", "name", "body"), text), "ini")
+
+
+@query(f"with r as ({ROWS_SQL}) select path, arg_max(o_orderkey::varchar, o_orderkey) as value from r where substr(body, 1, 1) = '2' and right(name, 1) = 'o' group by path")
+def q83_ini_lookup(spark, d):
+    return lookups.ini_value(_ini_files(spark, d), F.lit("SEC2"), F.lit("keyO"))
+
+
+@query(f"with r as ({ROWS_SQL}) select path, 'sec' || substr(body, 1, 1) as section, count(distinct right(name, 1)) as keys, bool_or(any_value(substr(body, 1, 1)) = '3') over (partition by path) as has from r group by path, substr(body, 1, 1)")
+def q84_ini_sections(spark, d):
+    rows = _ini_files(spark, d)
+    return lookups.section_sizes(rows).join(lookups.has_section(rows, F.lit("sec3")), "path")
+
+
+def _sage(spark: SparkSession, d: str) -> DataFrame:
+    def chunks(items: list[dict]) -> bytes:
+        return b"CkMp" + b"".join(struct.pack("<I", 6) + b"Chunk%d" % (r["o_orderkey"] % 5) + struct.pack("<II", r["o_orderkey"] % 9, len(r["body"])) + r["body"].encode() for r in items)
+
+    return decoded(built(orders(spark, d).select("path", "o_orderkey", "body"), chunks), "map_sage")
+
+
+@query(f"with r as ({ROWS_SQL}) select path, arg_min(idx, idx) as idx, arg_min(body, idx) as data from r where o_orderkey % 5 = 3 group by path")
+def q85_chunk_lookup(spark, d):
+    return lookups.chunk(_sage(spark, d), F.lit("Chunk3")).select("path", "idx", said("data"))
+
+
+@query(f"with r as ({ROWS_SQL}) select path, count(*) + 1 as events, array_to_string(list_sort(list(distinct o_orderkey % 16)), ',') as channels from r group by path")
+def q86_song_summary(spark, d):
+    """Events, the end of the track among them, and the channels that they use."""
+    def song(items: list[dict]) -> bytes:
+        return media.smf([(10 * i, bytes([0x90 | r["o_orderkey"] % 16, r["o_orderkey"] % 128, 64])) for i, r in enumerate(items)], 480)
+
+    rows = lookups.midi_summary(decoded(built(orders(spark, d).select("path", "o_orderkey"), song), "mid"))
+    return rows.select("path", "events", F.array_join(F.transform("channels", lambda x: x.cast("string")), ",").alias("channels"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, least(l_partkey * 1000000 * (10 + l_linenumber) // 1000000000, 19) as frame, l_partkey * 1000000000 // (10 + l_linenumber) as nanos from lineitem")
+def q87_frame_at_time(spark, d):
+    fps = (F.col("l_linenumber") + 10).cast("long")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", lookups.frame_at(F.col("l_partkey") * 1_000_000, fps, F.lit(20)).cast("long").alias("frame"), lookups.clip_nanos(fps, F.col("l_partkey")).alias("nanos"))
+
+
+@query(f"with r as ({ROWS_SQL}), n as (select path, count(*) as n from r group by path) select path, sum(case when n > 2 then n - 1 else n end * 80)::bigint as samples, count(*) filter (where n > 2) as damaged from n group by path")
+def q88_sound_after_damage(spark, d):
+    """Sounds of marked chunks, 40 bytes an order; where there are more than two the second one's mark is damaged, and it alone is lost."""
+    def sound(items: list[dict]) -> bytes:
+        parts = [struct.pack("<HHI", 40, 160, 0xDEAF) + bytes([r["o_orderkey"] % 256] * 40) for r in items]
+        if len(parts) > 2:
+            parts[1] = parts[1][:4] + b"\0\0\0\0" + parts[1][8:]
+        body = b"".join(parts)
+        return struct.pack("<HIIBB", 22050, len(body), 160 * len(parts), 2, 99) + body
+
+    out = decoded(built(orders(spark, d).select("path", "o_orderkey"), sound), "aud_stream", chunkFrames=80, resync="true").where("_error is null")
+    return out.groupBy("path").agg(F.sum(F.size("samples")).alias("samples"), F.count_if("after_damage").alias("damaged"))
+

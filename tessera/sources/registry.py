@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from tessera.functions.codecs import lcw_decompress
 from tessera.sources import archives, encoding, images, media, models, texts
 from tessera.sources.binary import DecodeError
+from tessera.streaming import players
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ def _all() -> dict[str, Format]:
         Format("aud", m.aud, "chunk int, sample_rate int, channels int, compression int, start_frame long, start_ns long, samples array<int>"),
         Format("wav", m.wav, "sample_rate int, frames long, samples array<float>"), Format("voc", m.voc, "idx int, version int, block_type int, offset long, size long, sample_rate long, data binary"),
         Format("vqa", m.vqa, "frame int, timestamp_ns long, width int, height int, pixels binary, palette binary"),
+        Format("aud_stream", players.aud_stream, "chunk int, sample_rate int, channels int, start_frame long, samples array<int>, after_damage boolean"),
+        Format("vqa_stream", players.vqa_stream, "frame int, timestamp_ns long, width int, height int, pixels binary, palette binary, samples array<int>"),
         Format("vqa_chunks", m.vqa_chunks, "idx int, fourcc string, offset long, size long, num_frames int, width int, height int, fps int"),
         Format("mid", m.midi, "track int, idx int, tick long, status int, channel int, meta int, data binary, division int, format int"),
         Format("xmi", m.xmi, "idx int, timbres array<struct<patch:int,bank:int>>, events binary"),

@@ -5,6 +5,7 @@ Both take any binary file object; seek() of it is needed for rewind(), resync()
 
 from __future__ import annotations
 
+import io
 import struct
 from collections import deque
 from collections.abc import Iterator
@@ -279,3 +280,48 @@ def aud_to_wav(source: BinaryIO, target: BinaryIO, frames: int = 4096) -> int:
     target.seek(40)
     target.write(struct.pack("<I", 2 * n))
     return n // c
+
+
+def aud_stream(data: bytes, chunkFrames: int = 1024, resync: bool = False, **_: object) -> Iterator[dict]:  # noqa: N803
+    """A sound file's chunks, decoded step by step; with resync, damage is passed over to the next chunk that has a mark, and the chunk after
+    it is said to be so."""
+    player, k, after = AudPlayer(io.BytesIO(data)), 0, False
+    runs = player.chunks(int(chunkFrames))
+    while True:
+        try:
+            run = next(runs, None)
+        except DecodeError:
+            if not (str(resync).lower() == "true" and player.resync()):
+                raise
+            runs, after = player.chunks(int(chunkFrames)), True
+            continue
+        if run is None:
+            return
+        yield {"chunk": k, "sample_rate": player.head["sample_rate"], "channels": player.channels, "start_frame": run[0], "samples": run[1], "after_damage": after}
+        k, after = k + 1, False
+
+
+def vqa_stream(data: bytes, startFrame: int = 0, startNanos: int | None = None, resync: bool = False, **_: object) -> Iterator[dict]:  # noqa: N803
+    """A video's frames, each with the sound of its time, from a frame or a time on; with resync, damage is passed over to the next place that
+    looks like a chunk."""
+    player = VqaPlayer(io.BytesIO(data))
+    if startNanos is not None:
+        player.seek_time(int(startNanos))
+    elif int(startFrame):
+        player.seek_frame(int(startFrame))
+    while True:
+        try:
+            frame = player.next_frame()
+        except DecodeError:
+            if not (str(resync).lower() == "true" and player.resync()):
+                raise
+            continue
+        if frame is None:
+            return
+        try:
+            sound = player.audio_of_frame()
+        except DecodeError:
+            if str(resync).lower() != "true":
+                raise
+            sound = []
+        yield {"frame": frame[0], "timestamp_ns": frame[0] * NANOS // player.fps, "width": player.head["width"], "height": player.head["height"], "pixels": frame[1], "palette": frame[2], "samples": sound}
