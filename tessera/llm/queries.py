@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.html_text import extract_text
 from tessera.llm.licenses import license_scan
-from tessera.llm.media import document_media
+from tessera.llm.media import document_media, interleaved
 from tessera.llm.mixing import SEED, mix
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
-from tessera.llm.quality import quality
-from tessera.llm.substrings import substring_dedup
+from tessera.llm.quality import quality, with_rules
+from tessera.llm.substrings import longest_repeats, substring_dedup
 from tessera.llm.tokens import token_records
-from tessera.llm.toxicity import sample, scored, train
+from tessera.llm.toxicity import offending_sentences, sample, scored, train
 from tessera.session import ship, table
 
 
@@ -80,6 +80,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op10 without its likelihood ratio, which SQL can state."""
+    rules = with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds of the base phrases, which SQL can state."""
+    ship(spark)
+    return license_scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that op9's model blames."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return offending_sentences(docs, train(sample(docs, table(spark, sf_dir, "labels"))))
+
+
+def repeat_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest repeat of each document: op1's doubling carried on until no candidate survives."""
+    ship(spark)
+    return longest_repeats(table(spark, sf_dir, "documents"))
+
+
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ordered sequences of texts and media references."""
+    ship(spark)
+    return interleaved(table(spark, sf_dir, "pages"), "page_id")
+
+
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 OP2_SQL = rf"""
@@ -122,10 +153,32 @@ select s.doc_id, len(sh)::bigint as n_shingles, min(c) as component_id, min(c) =
 """
 
 
+BASE_QUALITY_SQL = r"""
+with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+r as (select doc_id, p, array_to_string(ws[p:p + 4], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as p from w where len(ws) >= 5)),
+twice as (select doc_id, p from r qualify count(*) over (partition by doc_id, k) > 1),
+covered as (select doc_id, count(distinct at)::bigint as n from (select doc_id, p + unnest(range(0, 5)) as at from twice) group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from w),
+t as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+  (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words
+  from w join lines on w.doc_id = lines.doc_id left join covered on w.doc_id = covered.doc_id)
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from t
+"""
+
+BASE_LICENSE_SQL = r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+p as (select doc_id, ws, list_filter(range(1, len(ws)), lambda i: ws[i] = 'mit' and ws[i + 1] = 'license') as mit, list_filter(range(1, len(ws)), lambda i: ws[i] = 'apache' and ws[i + 1] = 'license') as apache,
+  list_filter(range(1, len(ws) - 1), lambda i: ws[i] = 'general' and ws[i + 1] = 'public' and ws[i + 2] = 'license') as gpl from w),
+a as (select *, list_concat(list_concat(mit, apache), gpl) as every from p)
+select doc_id, len(ws)::bigint as n_words, len(every)::bigint as n_base, (list_min(every) - 1)::bigint as first_word, (list_max(every) - 1)::bigint as last_word,
+array_to_string(list_filter([case when len(apache) > 0 then 'apache' end, case when len(gpl) > 0 then 'gpl' end, case when len(mit) > 0 then 'mit' end], lambda x: x is not null), ',') as base_labels from a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_source_mixing, op3_license_scan, op4_html_text, op5_media_columns, op6_packing, op7_token_records, op8_near_duplicates, op9_toxicity, op10_quality_rules)
+    every = (op1_substring_dedup, op2_source_mixing, op3_license_scan, op4_html_text, op5_media_columns, op6_packing, op7_token_records, op8_near_duplicates, op9_toxicity, op10_quality_rules, base_quality_rules, base_license_phrases, toxic_sentences, repeat_lengths, page_media)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op8_near_duplicates": OP8_SQL, "base_quality_rules": BASE_QUALITY_SQL, "base_license_phrases": BASE_LICENSE_SQL}
