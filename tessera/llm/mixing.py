@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling. DataFrame functions only.
 
 Sources get targets in words; a document's expected number of copies is its source's target over the source's size. Within a
-source the documents stand in the order of (size, doc_id); the running sum of expected copies, shifted by one random offset
+source the documents stand in the order of (size, doc_id, a hash of the text); the running sum of expected copies, shifted by one random offset
 per source, is cut at whole numbers, and a document is emitted once for each whole number that its stretch crosses. The order
 by size spreads the sample over all lengths, so the words taken come within about one document of the target.
 """
@@ -59,14 +59,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """Per row of docs: doc_id, source, size, source_size, target, copies, taken; with carry also `row`, a struct of its columns.
 
     The running sum is by rank, as all documents of a source expect the same. Ranks come from one range-partitioned sort of
-    (source, size, doc_id): a place within the task plus the rows of the tasks before it, so no source, however large, meets in
+    (source, size, doc_id, a hash of the text): a place within the task plus the rows of the tasks before it, so no source, however large, meets in
     one task. The sorted rows are written, since they are read twice. Null texts have size 0; null sources are one source; null
     ids and repeated rows are rows like others. An empty table gives no row.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text").cast("string")).alias("size"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
-    key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), sizes(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("tie"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
+    key = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("tie")]
+    rows = rows.repartitionByRange(*key).sortWithinPartitions(*key).drop("tie")
     rows = rows.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
     rows = written(spark, rows, "mix")
     per = rows.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.sum("size").alias("words"))
