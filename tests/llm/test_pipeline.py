@@ -114,3 +114,42 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for r in got:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048
+
+
+EDGES = DOC + ", score double, kept string, id string, row int, copy string, rest string, text_key int, component_id string, size string, target string, part string, n_removed string"
+
+
+def edge_rows(rows):
+    return [(*r, 9.25, "k", "i", 1, "c", "r", 2, "d", "z", "t", "p", "n") for r in rows]
+
+
+def test_stages_keep_rows_and_columns(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, ties, a long text and clashing column names; then empty tables."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    plain = [(1, a, "en", "s", len(a)), (2, a, "en", "s", len(a)), (2, a, "en", "s", len(a)), (3, "", "en", None, 0), (3, "", "en", None, 0), (4, None, None, None, None), (None, a + " q", "en", "s", 5), (None, None, None, None, None)]
+    plain += [(5, b + " " + a, "en", "t", 7), (6, "long " * 50_000, "en", "t", 250_000), (7, "x", "en", "t", 1), (7, "y", "en", "t", 1)]
+    rows = edge_rows(plain)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame(rows, EDGES).repartition(3)
+    at = f"file://{tmp_path}"
+
+    def got(stage, docs):
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        return Counter(map(tuple, out.collect()))
+
+    assert got(corpus_pipeline.toxicity, df) == Counter(rows)
+    kept = got(corpus_pipeline.near_dedup, df)
+    assert kept == Counter(edge_rows([plain[0], plain[3], *plain[5:]]))
+    cut = got(corpus_pipeline.substrings, df)
+    assert Counter((r[0], r[1], r[4]) for r in cut.elements()) == Counter([(1, a, len(a)), (2, "", 0), (2, "", 0), (3, "", 0), (3, "", 0), (4, None, None), (None, "q", 1), (None, None, None), (5, b, len(b)), (6, "long", 4), (7, "x", 1), (7, "y", 1)])
+    assert {r[5:] for r in cut} == {r[5:] for r in rows}
+    mixed = got(corpus_pipeline.mixing, df)
+    assert set(mixed) <= set(rows) and max(mixed[r] / rows.count(r) for r in mixed) <= 2
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, df, at).collect()} == {r[0] for r in rows}
+    none = spark.createDataFrame([], EDGES)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, at).count() == 0
+    bare = df.drop("n_chars")
+    assert corpus_pipeline.substrings(spark, bare, at).columns == bare.columns

@@ -1,10 +1,13 @@
 """The operators against brute-force versions, on small tables with nulls, ties, repeated rows, empty and long texts, and clashing columns."""
 
 import hashlib
+import io
 import itertools
 import math
 import random
 import re
+import time
+import wave
 import zlib
 from collections import Counter
 
@@ -129,6 +132,13 @@ def test_mix(spark, rows):
     assert mixing.mixed(table(spark, rows)).count() == sum(r["copies"] for r in got)
 
 
+def test_mix_ties(spark):
+    """Rows of equal source, size and id, null ids too: the same texts are taken whatever the order of rows."""
+    tied = [(k, f"{c} {c}", s) for k in (None, 4) for c in "abcdefghij" for s in ("p", "q", None)]
+    runs = [Counter((r["doc_id"], r["text"], r["source"], r["kept"]) for r in mixing.mixed(table(spark, random.Random(n).sample(tied, len(tied))).repartition(n)).collect()) for n in (1, 3, 8)]
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) == 90
+
+
 def test_quality(spark, rows):
     got = quality.quality(table(spark, rows), spark.createDataFrame([(0,), (1,), (None,)], "doc_id long"), buckets=512).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score").collect()
     assert len(got) == len(rows)
@@ -179,26 +189,64 @@ def test_near_duplicates(spark, rows):
                 assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), root(r["doc_id"]), root(r["doc_id"]) == r["doc_id"])
 
 
-def test_near_duplicates_takes_up_buckets_again(spark):
-    """Many sets at about the same similarity: the first round's star leaves links between others."""
+def _components(texts, shingle, percent=80):
+    """Per place of texts the least place that links lead to."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)})
+    comp = list(range(len(sets)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            comp[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("blocks", [(2048, 512), (16, 8)])
+def test_near_duplicates_of_many_under_the_similarity(spark, monkeypatch, blocks):
+    """A group whose members are mostly less alike than 0.8 to its centre, some of them alike to one another; also dealt in small blocks."""
+    monkeypatch.setattr(near_dedup, "BITS_BLOCK", blocks[0])
+    monkeypatch.setattr(near_dedup, "SETS_BLOCK", blocks[1])
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(40):
+    texts = []
+    for i in range(60):
         w = list(base)
         for k in range(8):
             w[(7 * (i // 2) + k) % 60] = f"x{i // 2}_{k}"
         if i % 2:
             w[r.randrange(60)] = "y"
-        rows.append((i, " ".join(w), "s"))
-    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark, table(spark, rows), 2, 80).collect()}
-    sets = {i: set(itertools.pairwise(t.split())) for i, t, _ in rows}
-    comp = {i: i for i in sets}
-    for _ in range(40):
-        for a, b in itertools.combinations(sets, 2):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                comp[a] = comp[b] = min(comp[a], comp[b])
-    assert got == comp
+        texts.append(" ".join(w))
+    texts += [" ".join(w if r.random() > 0.04 else f"z{r.randrange(10**6)}" for w in base) for _ in range(60)]
+    expected = _components(texts, 2)
+    assert 10 < len(set(expected)) < len(texts)
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark, table(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(5), 2, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_near_duplicates_rows(spark):
+    """Different texts under one id are placed each by its own; null ids, empty texts and exact copies; long texts; clashing columns."""
+    a, b, long = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 40), ("c", 30_000)))
+    docs = [(3, a, "s"), (3, b, "s"), (5, a + " x", "s"), (6, b + " y", "s"), (7, long, "s"), (8, long + " z", "s"), (9, "", "s"), (10, "", "s"), (None, a, "s"), (11, a.upper(), "s"), (11, a.upper(), "s")]
+    got = near_dedup.near_duplicates(spark, table(spark, docs), 2, 80, with_key=True).collect()
+    assert Counter((x["doc_id"], x["component_id"], x["kept"]) for x in got) == Counter([(3, 3, True), (3, 3, True), (5, 3, False), (6, 3, False), (7, 7, True), (8, 7, False), (9, 9, True), (10, 10, True), (None, None, True), (11, 3, False), (11, 3, False)])
+    assert len({x["group"] for x in got if x["doc_id"] == 3}) == 2
+
+
+def test_shared_counts():
+    import numpy as np
+
+    r = random.Random(2)
+    sets = [np.unique(np.array([r.randrange(300) for _ in range(r.randrange(1, 120))], np.uint64)) for _ in range(25)]
+    for width in (7, 4096):
+        assert near_dedup.shared_counts(sets, width).tolist() == [[len(set(x.tolist()) & set(y.tolist())) if i != j else near_dedup.shared_counts(sets)[i][i] for j, y in enumerate(sets)] for i, x in enumerate(sets)]
 
 
 def test_token_records(spark, rows, tmp_path):
@@ -228,10 +276,11 @@ def test_token_records(spark, rows, tmp_path):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_equals_the_library(name):
     r = random.Random(3)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "'ll", "1", "23", "<|endoftext|>", " ", "\x1c", "!?", "日本", "́", "ß", "Σ", "İ", "\r\n", "\x85", "abc.", "q's.", "̸", "<"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "'ll", "1", "23", "<|endoftext|>", " ", "\x1c", "!?", "日本", "́", "ß", "Σ", "İ", "\r\n", "\x85", "abc.", "q's.", "̸", "<", "\0", "\u2003", "\u201c", "\n\n", " \n", "word", " word", " word"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(r.choice([" ", " ", "\n", "a", "bc", "é", ".", "'s", " w"]) for _ in range(r.randint(0, 12))) for _ in range(1500)]
     m = tokens.Memo(tokenizer(name), most=500)
-    assert [x for i in range(0, 3000, 100) for x in m.encode(texts[i : i + 100])] == m.whole(texts)
+    assert [x for i in range(0, 3000, 100) for x in m.encode(texts[i : i + 100])] == [m.whole(t) for t in texts]
 
 
 def test_packing(spark, rows):
@@ -247,11 +296,12 @@ def test_packing(spark, rows):
     for r in got:
         own = [int.from_bytes(r["ids"][k : k + 2], "little") for k in range(0, len(r["ids"]), 2)]
         assert len(own) == r["length"] and r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))
-        by_doc.setdefault(r["doc_id"], []).append((r["start"], own, r["doc_tokens"]))
-    for i, x in ids:
-        copies = sum(k == i for k, _ in ids)
-        pieces = sorted(by_doc[i], key=lambda p: p[0])
-        assert sorted(itertools.chain(*(p[1] for p in pieces))) == sorted(x * copies) and all(p[2] == len(x) for p in pieces)
+        by_doc.setdefault(r["doc_id"], Counter())[r["start"], tuple(own), r["doc_tokens"]] += 1
+    expected = {}
+    for i, x in ids:  # each piece is the ids from its start on, in their order
+        for at in range(0, len(x), 256):
+            expected.setdefault(i, Counter())[at, tuple(x[at : at + 256]), len(x)] += 1
+    assert by_doc == expected
     per = {}
     for r in got:
         per.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -274,7 +324,16 @@ def test_media(spark, rows):
         data = texts[r["doc_id"]][0].encode()
         pay = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
-        assert r["media_bytes"] == len(pay) + 44 and media.samples_of(media.wave(pay)) == pay
+        made = io.BytesIO()
+        with wave.open(made, "wb") as f:  # the standard library's form of the same samples
+            f.setnchannels(1)
+            f.setsampwidth(1)
+            f.setframerate(8000)
+            f.writeframes(pay)
+        assert r["media_bytes"] == len(pay) + 44 and r["media_sha256"] == hashlib.sha256(made.getvalue()).hexdigest() and media.samples_of(media.wave(pay)) == pay
+        rms = math.sqrt(sum((x - 128) ** 2 for x in pay) / len(pay))
+        crossings = sum((x >= 128) != (y >= 128) for x, y in itertools.pairwise(pay))
+        assert r["feature"] == f"mean={sum(pay) / len(pay):.3f};rms={rms:.3f};zcr={1000 * crossings / len(pay):.3f}"
         assert r["caption"] == f"payload of document {r['doc_id']}" and r["position"] == (1 if texts[r["doc_id"]][0].split() else 0)
 
 
@@ -353,6 +412,75 @@ def test_html(spark):
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_text(df).collect()) == [(0, "x", 1), (1, "", 0), (2, "", 0), (2, main_text(page)[0], len(main_text(page)[0]))]
 
 
+def _page(r, landmark, hinted):
+    """A page of known main text: an article of paragraphs and short lines among what isn't."""
+    say = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet tempor magna aliqua".split()) for _ in range(n))
+    blocks, main, tag = [], [], r.choice(["article", "main"]) if landmark else "div"
+    for _ in range(r.randrange(3, 9)):
+        t = say(r.choice([1, 3, 40, 60, 80]))
+        main.append(t)
+        blocks.append(r.choice(["<p>{}</p>", "<p><b>{}</b></p>", "<section><p>{}</p></section>", "<ul><li>{}</li></ul>", "<h2>{}</h2>"]).format(t))
+    main.append(long := say(90))
+    blocks.append(f"<p>{long}</p>")
+    if hinted:
+        blocks.insert(r.randrange(len(blocks)), f"<div class='ad box'>{say(30)}</div>")
+    links = "".join(f"<li><a href='{k}'>{say(1)}</a></li>" for k in range(r.randrange(3, 9)))
+    return f"<html><body><nav><ul>{links}</ul></nav><div class='menu'>{links}</div><{tag} id=text>{''.join(blocks)}</{tag}><div id='comments'><p>{say(40)}</p></div><footer>{say(12)}</footer></body></html>", " ".join(main)
+
+
+def test_html_of_known_text():
+    r = random.Random(9)
+    for _ in range(300):
+        page, text = _page(r, r.random() < 0.5, r.random() < 0.5)
+        assert main_text(page)[0] == text
+
+
+def test_html_clusters_choose():
+    """Without landmarks or hints: the container of the long lines, not those of link lists and short ones. A threshold that
+    admits every line takes other text."""
+    links = "".join(f"<li><a href=x>word {k}</a></li>" for k in range(30))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><p>{'long text ' * 40}</p><p>Short.</p><p>{'more text ' * 30}</p></div><div><ul>{links}</ul></div></body>"
+    text = f"Title {('long text ' * 40).strip()} Short. {('more text ' * 30).strip()}"
+    assert main_text(page)[0] == text and main_text(page, deviations=99)[0] != text
+
+
+def test_html_long_pages():
+    began = time.time()
+    for page in ("<div>" * 100_000 + "deep", "<div>" * 50_000 + "</section>" * 50_000 + "x", "<article><p>one two</p></article>" * 16_000, "<svg>" * 50_000 + "</title>" * 50_000, "<!--" * 50_000, "<a " * 50_000, "<p>" + "word " * 200_000):
+        main_text(page)
+    assert time.time() - began < 40
+    assert main_text("<p>text <a href='unfinished")[0] == "text" and main_text("<p>" + "word " * 200_000)[0] == ("word " * 200_000).strip()
+
+
+def test_toxicity_is_noisy_or(spark):
+    """Scores against sentences and words taken one by one, and training against its likelihood's slope."""
+    import numpy as np
+
+    known = sorted(zip(Words(pa.array(["zork blim"])).hashes.tolist(), [3.0, 1.5], strict=True))
+    model = toxicity.Model(np.array([h for h, _ in known], np.uint64), np.array([w for _, w in known]), -2.0)
+    texts = ["zork blim. plain words", "Zork! zork? ZORK", "none here", "", None, "blim\nblim blim"]
+    got = [x["score"] for x in toxicity.scored(table(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(1).orderBy("doc_id"), model, names=("h", "_score", "p")).select("doc_id", F.col("_score").alias("score"), F.col("score").alias("own")).orderBy("doc_id").collect()]
+    weight = {"zork": 3.0, "blim": 1.5}
+    for t, s in zip(texts, got, strict=True):
+        none = 1.0
+        for x in re.split(r"[.!?\n]", (t or "").lower()):
+            if x.split():
+                none *= 1 - 1 / (1 + math.exp(2.0 - sum(weight.get(w, 0) for w in set(x.split()))))
+        assert math.isclose(s, 1 - none, abs_tol=1e-12)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """By rows and by bytes; texts of any length are learned from, whole."""
+    df = table(spark, [(i, ("long " * 20_000 if i % 3 == 0 else "short") + f" {i}", "s") for i in range(60)] + [(61, None, "s")])
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(62)] + [(2, 1, 1)], "doc_id long, quality int, toxic int")
+    free = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    every = toxicity.sample(df, known).toArrow().to_pylist()
+    assert len(every) == len(free) and sum(len(x["text"]) > 90_000 for x in every) == sum(i % 3 == 0 for i in free)
+    assert all(x["toxic"] == (int(x["text"].split()[-1]) % 2 or x["text"] == "short 2") for x in every)
+    assert toxicity.sample(df, known, rows=7).count() == 7
+    assert 0 < sum(len(x["text"]) for x in toxicity.sample(df, known, most_bytes=300_000).toArrow().to_pylist()) <= 300_000
+
+
 def test_toxicity_rarest_word():
     """An offending word is fitted although 45,000 other words are in more documents than it."""
     r, docs = random.Random(3), [[] for _ in range(100)]
@@ -377,7 +505,7 @@ def test_toxicity(spark):
         labels.append((i, 1, int(bad)))
     docs += [(None, "zork", "s"), (901, None, "s"), (902, "", "s"), (902, "", "s"), (903, "nice " * 20000, "s")]
     df, known = table(spark, docs), spark.createDataFrame(labels + [(5000, 1, None)], "doc_id long, quality int, toxic int")
-    model = toxicity.train(toxicity.sample(df, known))
+    model = toxicity.fitted(toxicity.sample(df, known))
     got = toxicity.scored(df, model).collect()
     assert len(got) == len(docs) and set(got[0].asDict()) >= {"lang", "held_out", "score", "predicted"}
     toxic = dict((i, t) for i, _, t in labels)
@@ -395,6 +523,6 @@ def test_empty_tables(spark):
     assert substrings.substring_dedup(e).count() == mixing.mix(e).count() == quality.quality(e, none).count() == licenses.license_scan(e).count() == 0
     assert near_dedup.near_duplicates(spark, e).count() == packing.pack_documents(spark, e, tokenizer("word_bpe_49k.json"), 1).count() == media.document_media(spark, e).count() == 0
     assert tokens.token_records(spark, e, tokenizer("byte_bpe_50k.json"), 2).count() == 0
-    assert toxicity.scored(e, toxicity.train(toxicity.sample(e, none))).count() == 0
+    assert toxicity.scored(e, toxicity.fitted(toxicity.sample(e, none))).count() == 0
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert substrings.longest_repeats(e).count() == 0 and F is not None
