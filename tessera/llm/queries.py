@@ -16,7 +16,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality, with_rules
 from tessera.llm.substrings import longest_repeats, substring_dedup
 from tessera.llm.tokens import token_records
-from tessera.llm.toxicity import offending_sentences, sample, scored, train
+from tessera.llm.toxicity import fitted, offending_sentences, sample, scored
 from tessera.session import ship, table
 
 
@@ -71,7 +71,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, train(sample(docs, table(spark, sf_dir, "labels")))).drop("text")
+    return scored(docs, fitted(sample(docs, table(spark, sf_dir, "labels")))).drop("text")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences that op9's model blames."""
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return offending_sentences(docs, train(sample(docs, table(spark, sf_dir, "labels"))))
+    return offending_sentences(docs, fitted(sample(docs, table(spark, sf_dir, "labels"))))
 
 
 def repeat_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import _POWERS, MULTIPLIER, NOT_ALNUM, U64, Words, mix, slices
 
 PREFIXES = (4, 5, 6, 7, 8)
-#: Labelled rows that are fitted at most, and the bytes of a text among them.
-SAMPLE, SAMPLE_BYTES = 8_000, 32_768
+#: Labelled rows that are fitted at most, and the bytes of all their texts: what the driver holds is bounded by these, whatever the
+#: lengths. Pairs of a sentence and a feature that are fitted in one step.
+SAMPLE, SAMPLE_BYTES, STEP = 8_000, 64 << 20, 1 << 20
 LEAST_DOCS, COMMON, TOXIC_WEIGHT = 5, 0.25, 2.0
 LEAST = 0.7
 _END = np.zeros(256, bool)
@@ -108,12 +109,20 @@ def _fit(sent: np.ndarray, feat: np.ndarray, doc: np.ndarray, y: np.ndarray, k:
     w, m, v, rate = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1), 0.15
     w[k] = -5.0
     for t in range(1, rounds + 1):
-        z = np.bincount(sent, w[feat], len(doc)) + w[k]
+        z = np.full(len(doc), w[k])
+        for at in range(0, len(sent), STEP):  # pairs stand in the order of sentences
+            part, first = slice(at, at + STEP), sent[at]
+            own = np.bincount(sent[part] - first, w[feat[part]])
+            z[first : first + len(own)] += own
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # log of no toxic sentence
         some = np.maximum(-np.expm1(none), 1e-9)
         g = p * np.where(y[doc] > 0, -TOXIC_WEIGHT * np.exp(none[doc]) / some[doc], 1.0)
-        grad = np.append(np.bincount(feat, g[sent], k), g.sum()) / len(y)
+        grad = np.zeros(k + 1)
+        for at in range(0, len(sent), STEP):
+            grad[:k] += np.bincount(feat[at : at + STEP], g[sent[at : at + STEP]], k)
+        grad[k] = g.sum()
+        grad /= len(y)
         grad[:k] += decay * w[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -131,7 +140,7 @@ def train(rows: pa.Table) -> Model:
     y = np.array(rows.column("toxic").to_pylist() if len(rows) else [], float)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, U64), np.zeros(0), -30.0)
-    batches = [part for batch in rows.combine_chunks().to_batches() for part in slices(batch, "text", 1 << 20)]
+    batches = [part for batch in rows.to_batches() for part in slices(batch, "text", 1 << 20)]
     counts: list[tuple[np.ndarray, np.ndarray]] = []
     for part in batches:
         sent, h, doc = pairs_of(Words(part.column("text"), NOT_ALNUM, lower=True))
@@ -172,26 +181,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """At most `rows` labelled documents that aren't held out, of at most `most_bytes` each, the first by a hash of the id."""
+def fitted(rows: DataFrame) -> Model:
+    """train() over sampled rows (text, toxic), in one task: it takes the memory that the sample's bounds allow, and only features and weights
+    come to the driver."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("toxic", pa.int64())])))
+        features = pa.array([None, *model.features.view(np.int64).tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([features, pa.array([model.bias, *model.weights.tolist()], pa.float64())], names=["feature", "weight"])
+
+    found = rows.coalesce(1).mapInArrow(fit, "feature long, weight double").toArrow()
+    if not len(found):
+        return Model(np.zeros(0, U64), np.zeros(0), -30.0)
+    own = found.column("feature").is_valid()
+    features = found.column("feature").filter(own).to_numpy().view(U64)
+    order = np.argsort(features)
+    return Model(features[order], found.column("weight").filter(own).to_numpy()[order], found.column("weight").filter(found.column("feature").is_null())[0].as_py())
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most `rows` labelled documents that aren't held out, the first by a hash of the id, whole texts and no more of them than
+    come to `most_bytes`. A null text isn't learned from; a doc_id with several labels counts as toxic if one says so."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # so it is small enough to be sent to every task
-    fit = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id")
-    return fit.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "toxic").toArrow()
+    fit = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    order = ["h", "doc_id", "text"]
+    fit = fit.orderBy(*order).limit(rows).withColumn("upto", F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order)))  # of `rows` rows
+    return fit.where(F.col("upto") <= most_bytes).select("text", F.col("toxic").cast("long").alias("toxic"))
 
 
-def scored(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """docs (doc_id, text and any others) with held_out, score and predicted; columns of those names are replaced. A null text, or
-    one without words, has score 0. Repeated rows and null ids are rows like others."""
-    docs = docs.drop("held_out", "score", "predicted").withColumn("held_out", held_out(F.col("doc_id")))
-    schema = docs.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
+def scored(docs: DataFrame, model: Model, least: float = LEAST, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """docs (doc_id, text and any others) with held_out, score and predicted, or what `names` calls them; columns of those names are
+    replaced. A null text, or one without words, has score 0. Repeated rows and null ids are rows like others; an empty table
+    gives no row."""
+    held, score_name, predicted = names
+    docs = docs.drop(*names).withColumn(held, held_out(F.col("doc_id")))
+    schema = docs.withColumn(score_name, F.lit(0.0)).withColumn(predicted, F.lit(0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 p, doc = chances(model, Words(part.column("text"), NOT_ALNUM, lower=True))
                 s = noisy_or(p, doc, part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], names=[*part.schema.names, score_name, predicted])
 
     return docs.mapInArrow(score, schema)
 

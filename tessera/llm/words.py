@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def inverse(odd: int) -> int:
