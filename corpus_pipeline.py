@@ -9,9 +9,9 @@ from tessera.llm.mixing import mixed
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack_documents
 from tessera.llm.queries import tokenizer
-from tessera.llm.shared import unused, written
+from tessera.llm.shared import drop_written, unused, written
 from tessera.llm.substrings import substring_dedup
-from tessera.llm.toxicity import sample, scored, train
+from tessera.llm.toxicity import fitted, sample, scored
 from tessera.session import ship, table
 
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs stay as they are, whatever their names; an empty table stays empty.
     """
     ship(spark)
-    model = train(sample(docs, table(spark, sf_dir, "labels")))
+    model = fitted(sample(docs, table(spark, sf_dir, "labels")))
     names = tuple(unused(x, docs.columns) for x in ("held_out", "score", "predicted"))
     return scored(docs, model, names=names).where(F.col(names[2]) == 0).select(docs.columns)
 
@@ -79,7 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Jobs of all stages run while it is made; a stage's table is deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_written(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
