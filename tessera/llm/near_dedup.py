@@ -136,6 +136,7 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, classes: Data
     """A written table of node and its shingles' sorted hashes, 8 bytes each, for the nodes of `wanted`: made again from a text
     of the class, which its least doc_id and the set's sums tell."""
     nodes = classes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "f1", "f2")
+    nodes = written(spark, nodes, "wanted")  # so its size is known before texts are moved: the planner sends it to all tasks where it is small
     names = ["doc_id", "f1", "f2", "shingles"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,9 @@ def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, classes: Data
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=names)
 
     made = _rows(docs).join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(make, "doc_id long, f1 long, f2 long, shingles binary")
-    return written(spark, made.join(nodes, ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    out = written(spark, made.join(nodes, ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    drop_written(spark, nodes)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
