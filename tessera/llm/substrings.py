@@ -9,7 +9,7 @@ A level is one pass over the texts and one exchange. Each task first compares th
 time, and sends one row for each different window; so a window that stands in a third of all documents gives one row per
 such chunk. Places that a task has settled travel with their row, spread by its key.
 
-Places belong to rows: a row's key is its doc_id and a hash of its text (_row), so that different texts under one id don't get
+Places belong to rows: a row's key is its doc_id and 32 bits of a hash of its text (_row), so that different texts under one id don't get
 each other's places. doc_id and place tell which window starts earlier; rows with a null id are all documents of their own, each
 with a number in its _row that is written once, and these come last, in the order of _row.
 """
@@ -180,10 +180,10 @@ def _by_document(rows: DataFrame, firsts: bool = True) -> DataFrame:
 
 
 def _with_keys(docs: DataFrame, others: tuple = ()) -> DataFrame:
-    """docs as id, _row, text and others. Rows with a null id are written with their _row, as that must not change from one reading to
+    """docs as id, _row, text and others; 32 bits tell a few texts under one id apart, and are exchanged as half of 64. Rows with a null id are written with their _row, as that must not change from one reading to
     the next."""
     own, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    known = docs.where(own.isNotNull()).select(own.alias("id"), F.xxhash64(text).alias("_row"), text.alias("text"), *others)
+    known = docs.where(own.isNotNull()).select(own.alias("id"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("_row"), text.alias("text"), *others)
     none = docs.where(own.isNull()).select(F.lit(LAST).alias("id"), F.xxhash64(text).bitwiseXOR(F.monotonically_increasing_id()).alias("_row"), text.alias("text"), *others)
     none = written(docs.sparkSession, none, "null-ids")
     if not none.isEmpty():
