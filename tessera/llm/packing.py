@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import written
 from tessera.llm.tokens import encoded, ids_crc32
 
-LENGTH, OPEN, MERGED = 2048, 64, 32
+LENGTH, OPEN, MERGED = 2048, 64, 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, fill long, closed boolean, sequence_id long, offset long"
 
 
@@ -79,13 +79,27 @@ def _batches(windows: Iterable[tuple[list, bool]], first: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
 
 
+def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The pieces of one group of tasks after another, the longest first."""
+    key, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if held and r["group"] != key:
+                yield sorted(held, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
+                held = []
+            key = r["group"]
+            held.append(tuple(r[n] for n in NAMES[:6]))
+    if held:
+        yield sorted(held, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, most_open: int = OPEN, with_ids: bool = False) -> DataFrame:
     """Sequences of at most `length` token ids from docs (doc_id, text; any order).
 
     Each task cuts documents of `length` ids and more into whole sequences and a tail, and packs tails and shorter documents
     best-fit into `most_open` windows, emitting the fullest when none has room: memory is bounded by the windows alone. The
-    windows that are left open, `most_open` a task at most, are taken apart and packed again, many tasks' in one task, until
-    one task's are left; there the longest pieces go first. A null text is empty and has the end id alone. Repeated rows are
+    windows that are left open, `most_open` a task at most, are taken apart and packed again, MERGED tasks' at a time, until
+    one task's are left; there the longest pieces go first. So a task holds at most MERGED x most_open x length pieces. A null text is empty and has the end id alone. Repeated rows are
     packed each by itself; other columns are ignored; an empty table gives no row.
 
     Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (little-endian, 2 bytes
@@ -109,8 +123,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: in
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            held = sorted((tuple(r[n] for n in NAMES[:6]) for b in batches for r in b.to_pylist()), key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
-            yield from _batches(_packed(((r, r[2]) for r in held), length, most_open), (level << 56) + (TaskContext.get().partitionId() << 33))
+            windows = (w for held in _sorted_groups(batches) for w in _packed(((r, r[2]) for r in held), length, most_open))
+            yield from _batches(windows, (level << 56) + (TaskContext.get().partitionId() << 33))
 
         return merge
 
@@ -119,7 +133,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: in
     tasks = left.select(F.shiftright("sequence_id", 33)).distinct().count()
     while tasks > 1:
         groups = max(1, -(-tasks // MERGED))
-        merged = written(spark, left.repartition(groups, F.pmod(F.shiftright("sequence_id", 33), F.lit(groups))).mapInArrow(again(level), PIECE), f"merged{level}")
+        dealt = left.withColumn("group", F.pmod(F.shiftright("sequence_id", 33), F.lit(groups))).repartition(groups, "group").sortWithinPartitions("group")
+        merged = written(spark, dealt.mapInArrow(again(level), PIECE), f"merged{level}")
         if groups == 1:
             parts.append(merged)
             break
