@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Workers give freed memory back to the system instead of keeping it for each thread; a worker lives for many tasks.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Rows of a batch that goes to a worker, which may hold long texts or whole files; the default is 10000.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on the executors' path."""
+    """Let Python workers import this package when it is not installed on the executors' path, in bounded memory: smaller batches, unless
+    the session says how large they are, and allocators that don't hoard."""
     env = spark.sparkContext.environment
+    for k, v in MEMORY.items():
+        env.setdefault(k, v)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, ROOT) if x)
