@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import fresh_path, written
 from tessera.llm.words import slices
+from tessera.sources.reading import store_uri
 
 MASK = 0xA282EAD8
 #: Entries of a worker's memo, and bytes of a shard's records.
-MEMO, SHARD_BYTES = 700_000, 64 << 20
+MEMO, SHARD_BYTES = 300_000, 64 << 20
 DOCS = 512
 
 
@@ -185,8 +186,8 @@ def unframed(data: memoryview) -> bytes:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Any store that pyarrow knows, by the path's scheme."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else re.sub(r"^(\w+):/(?!/)", r"\1:///", uri) if re.match(r"\w+:/", uri) else f"file://{uri}")
+    """Any store that pyarrow knows, by the path's scheme, be it Hadoop's name for it."""
+    return pafs.FileSystem.from_uri(store_uri(uri))
 
 
 class ShardWriter:
@@ -231,7 +232,9 @@ def write_records(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Dat
     """Encode docs (doc_id, text) and write them in ascending doc_id order as record files into `folder`.
 
     Returns the manifest, written as a table: one row per shard, whose order is that of (part, shard). Null doc_id come
-    first; rows with equal doc_id are put in the order of a hash of their texts. An empty table gives an empty manifest.
+    first; rows with equal doc_id are put in the order of a hash of their texts. A null or empty text is the end id alone; other
+    columns are ignored; texts of any length are one record. An empty table gives an empty manifest. Files of a task that was
+    run again are named by no manifest.
     """
     spark = docs.sparkSession
     order = ["doc_id", F.xxhash64("text")]
@@ -305,5 +308,6 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
 
 def token_records(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """Write record files of docs into the shared folder, then return what read_records() finds in them."""
+    """Write record files of docs into the shared folder, then return what read_records() finds in them: a row per row of docs, as
+    write_records() states for nulls, repeated rows, empty texts and empty tables."""
     return read_records(write_records(docs, tokenizer, end, fresh_path(spark, "records")))
