@@ -28,15 +28,21 @@ def hashed(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def gram_buckets(h: Column, buckets: int = BUCKETS) -> Column:
-    """Of an array of word hashes: the bucket of each word and of each two neighbouring words (after the words' own)."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-    two = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(one, two)
+def joined(a: Column, b: Column, apart: int, many: Column) -> Column:
+    """Hashes of a's elements, each with b's element `apart` places further on; `many` of them, or none."""
+    many = F.greatest(many, F.lit(0))
+    return F.zip_with(F.slice(a, 1, many), F.slice(b, 1 + apart, many), lambda x, y: F.xxhash64(x, y))
+
+
+def gram_buckets(h: Column, buckets: int = BUCKETS, two: Column | None = None) -> Column:
+    """Of an array of word hashes: the bucket of each word and of each two neighbouring words (after the words' own); `two` are the
+    latter's hashes, if they are known."""
+    two = joined(h, h, 1, F.size(h) - 1) if two is None else two
+    return F.transform(F.concat(h, two), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
 def with_rules(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _h (hashes of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """docs with _h and _two (hashes of the words, and of two neighbours), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     A null text counts as one without words. Lines are parted by \\n and compared as they are; lines without a word don't count.
     """
@@ -47,8 +53,17 @@ def with_rules(docs: DataFrame, text: str = "text", window: int = WINDOW) -> Dat
     df = df.withColumn("n_symbols", F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long"))
     df = df.withColumn("_l", lines).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_l")
     n, h = F.size("_h"), F.col("_h")
-    run = lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)])
-    df = df.withColumn("_r", F.when(n >= window, F.transform(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("_two", joined(h, h, 1, n - 1))
+    # Hashes of runs by doubling: those of 1, 2, 4, ... words, and of the window from the powers of two that it is the sum of.
+    have, size, parts = h, 1, []
+    while size <= window:
+        if window & size:
+            parts.append((have, size))
+        have, size = (F.col("_two") if size == 1 else joined(have, have, size, n - 2 * size + 1)), 2 * size
+    run, length = parts[-1]
+    for part, size in reversed(parts[:-1]):
+        run, length = joined(run, part, length, n - length - size + 1), length + size
+    df = df.withColumn("_r", run)
     r = F.col("_r")
     # Places whose run has an equal one: sorted by hash and place, a neighbour has the same hash.
     df = df.withColumn("_s", F.when(F.size(F.array_distinct(r)) < F.size(r), F.array_sort(F.transform(r, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
@@ -88,9 +103,9 @@ def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothi
     """
     ratios = log_ratios(docs, trusted, buckets, smoothing, most)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    df = with_rules(docs.drop(*made)).withColumn("_g", gram_buckets(F.col("_h"), buckets))
+    df = with_rules(docs.drop(*made)).withColumn("_g", gram_buckets(F.col("_h"), buckets, F.col("_two")))
     df = df.withColumn("_r", ratios.scalar())
     total = F.aggregate("_g", F.lit(0).cast("long"), lambda a, b: a + F.get(F.col("_r"), b))
     score = F.when(F.size("_g") > 0, total / F.size("_g") / 1e6).otherwise(F.lit(0.0))
     df = df.withColumn("score", score)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).drop("_h", "_g", "_r")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).drop("_h", "_two", "_g", "_r")
