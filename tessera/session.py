@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-#: Workers give freed memory back to the system instead of keeping it for each thread; a worker lives for many tasks.
-MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Workers give freed memory over some 64 MB back to the system, and don't keep any for each thread; a worker lives for many tasks. Arrays
+#: up to 32 MB come from what is kept, as mapping memory anew costs more time than the work on them.
+MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(32 << 20), "MALLOC_TRIM_THRESHOLD_": str(64 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows of a batch that goes to a worker, which may hold long texts or whole files; the default is 10000.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 
