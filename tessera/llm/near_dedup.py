@@ -31,6 +31,8 @@ SHINGLE, PERCENT, BANDS, BAND_ROWS = 5, 80, 32, 5
 PERMUTATIONS, PACKED = BANDS * BAND_ROWS, 128
 #: Nodes of a block when bits are compared; when sets are, nodes and the numbers of their sets.
 BITS_BLOCK, SETS_BLOCK, SETS_NUMBERS = 2048, 512, 1 << 20
+#: Of the filter of wanted ids: the most bits, as a power of two, and odd factors, one for each place.
+FILTER_BITS, FILTER_HASHES = 26, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x5851F42D4C957F2D)
 
 
 def _parameters() -> tuple[np.ndarray, np.ndarray]:
@@ -132,22 +134,56 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return df.where(fits & (estimated("x", "y") >= least_estimate(percent))).select("a", "b")
 
 
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Of each id, FILTER_HASHES places among 1 << bits."""
+    x = mix(ids.view(U64))
+    return [(x * U64(odd)) >> U64(64 - bits) for odd in FILTER_HASHES]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a table's only column, ids: 8 to 16 bits each while they are no more than FILTER_BITS, words of 64 bits. It
+    never misses an id; of others it takes some for one, 2 % at 8 bits each and more as they get fewer."""
+    bits = min(FILTER_BITS, max(10, (8 * ids.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << bits - 6, U64)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(words, at >> U64(6), U64(1) << (at & U64(63)))
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used].view(np.int64))], names=["word", "bits"])
+
+    found = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << bits - 6, U64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(U64)
+    return words
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids an id_filter() has."""
+    out = np.ones(len(ids), bool)
+    for at in _places(ids, len(words).bit_length() + 5):
+        out &= (words[at >> U64(6)] >> (at & U64(63))) & U64(1) > 0
+    return out
+
+
 def _sets(spark: SparkSession, docs: DataFrame, wanted: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """A written table of node and its shingles' sorted hashes, 8 bytes each, for the nodes of `wanted`: made again from a text
-    of the class, which its least doc_id and the set's sums tell."""
+    of the class, which its least doc_id and the set's sums tell. Texts are read where they lie and don't move: a filter of the
+    wanted ids leaves few others, and the join takes those away."""
     nodes = classes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id"), "f1", "f2")
-    nodes = written(spark, nodes, "wanted")  # so its size is known before texts are moved: the planner sends it to all tasks where it is small
-    names = ["doc_id", "f1", "f2", "shingles"]
+    nodes = written(spark, nodes, "wanted")
+    words, names = id_filter(nodes.select("doc_id")), ["doc_id", "f1", "f2", "shingles"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch.filter(pa.array(passes(words, batch.column("doc_id").to_numpy()))), "text"):
                 found = shingle_sets(part.column("text"), shingle)
                 sums = [set_sums(x) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=names)
 
-    made = _rows(docs).join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(make, "doc_id long, f1 long, f2 long, shingles binary")
-    out = written(spark, made.join(nodes, ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    made = _rows(docs).where("doc_id is not null").mapInArrow(make, "doc_id long, f1 long, f2 long, shingles binary")
+    out = written(spark, made.join(nodes, names[:3]).dropDuplicates(names[:3]).select("node", "shingles"), "sets")  # these three tell the node
     drop_written(spark, nodes)
     return out
 
