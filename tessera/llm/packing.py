@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import written
-from tessera.llm.tokens import encoded, ids_crc32
+from tessera.llm.tokens import MEMO, encoded, ids_crc32
 
 LENGTH, OPEN, MERGED = 2048, 64, 8
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, fill long, closed boolean, sequence_id long, offset long"
@@ -93,7 +93,7 @@ def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield sorted(held, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, most_open: int = OPEN, with_ids: bool = False) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, most_open: int = OPEN, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Sequences of at most `length` token ids from docs (doc_id, text; any order).
 
     Each task cuts documents of `length` ids and more into whole sequences and a tail, and packs tails and shorter documents
@@ -103,12 +103,12 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end: in
     packed each by itself; other columns are ignored; an empty table gives no row.
 
     Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (little-endian, 2 bytes
-    each where the vocabulary allows).
+    each where the vocabulary allows). memo: pieces of text whose ids a worker keeps, in each of two generations.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
-        for keys, many in encoded(batches, tokenizer, end):
+        for keys, many in encoded(batches, tokenizer, end, memo):
             for key, ids in zip(keys, many, strict=True):
                 for at in range(0, len(ids), length):
                     part = ids[at : at + length]

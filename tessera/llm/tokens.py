@@ -108,15 +108,15 @@ class Memo:
         return [self.whole(t) if (x := self.parts(t)) is None else b"".join(map(get, x)) for t in texts]
 
 
-#: One of a path and a process, so that a worker's later tasks find what its earlier ones encoded.
-_memos: dict[str, Memo] = {}
+#: One of a path, a size and a process, so that a worker's later tasks find what its earlier ones encoded.
+_memos: dict[tuple[str, int], Memo] = {}
 
 
-def memo(path: str) -> Memo:
-    if path not in _memos:
+def memo(path: str, most: int = MEMO) -> Memo:
+    if (path, most) not in _memos:
         _memos.clear()  # one vocabulary's pieces at a time
-        _memos[path] = Memo(path)
-    return _memos[path]
+        _memos[path, most] = Memo(path, most)
+    return _memos[path, most]
 
 
 #: Of white space beside " " and "\n": what ASCII has, and how the rest begins in UTF-8.
@@ -148,9 +148,9 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text) if any(x in text for x in _SEPARATORS) else text.split()
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int, most: int = MEMO) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows' doc_id and ids with the end id, some hundred rows at a time; a null text is empty."""
-    held = memo(path)
+    held = memo(path, most)
     for batch in batches:
         for part in slices(batch, "text"):
             for at in range(0, part.num_rows, DOCS):
