@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import fresh_path, written
-from tessera.llm.words import slices
+from tessera.llm.words import SLICE_BYTES, slices
 from tessera.sources.reading import store_uri
 
 MASK = 0xA282EAD8
 #: Entries of a worker's memo, and bytes of a shard's records.
 MEMO, SHARD_BYTES = 500_000, 64 << 20
 DOCS = 512
+#: Pieces of text among which equal ones are looked for at once.
+BLOCK = 1 << 20
 
 
 #: A piece of Latin-1's letters alone, which neither vocabulary cuts, and perhaps one mark after them, which both part from them.
@@ -63,8 +65,9 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
-            word = _WORD.fullmatch(piece)
-            if word is None:
+            if not self.lower and piece.isascii() and piece.removeprefix(" ").isalpha():
+                ids = array(self.code, [x.id for x in self.tokens(piece.replace(" ", _SPACE))]).tobytes()
+            elif (word := _WORD.fullmatch(piece)) is None:
                 ids = array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
             elif word[3]:
                 ids = self[piece[:-1]] + self[word[3]]
@@ -83,8 +86,9 @@ class Pieces(dict):
 class Memo:
     """Ids of the pieces between which the tokenizer never merges, each encoded by the library once as long as it is held.
 
-    Both vocabularies split a text before they merge, so a text's ids are those of its pieces in order. `parts` cuts a text
-    into such pieces, or gives None for a text to be encoded whole.
+    Both vocabularies split a text before they merge, so a text's ids are those of its pieces in order. Of the vocabulary with word ends
+    `words_of` cuts a text into such pieces; of the byte-level one `cuts` cuts many texts at once, but those that `_spaced` leaves to the
+    library whole.
     """
 
     def __init__(self, path: str, most: int = MEMO):
@@ -95,17 +99,41 @@ class Memo:
         self.tokenizer.encode_special_tokens = True
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
-        drops = "</w>" in str(getattr(self.tokenizer.model, "end_of_word_suffix", "") or "")
-        self.parts = words_of if drops else spaced_words_of
-        self.pieces = Pieces(self.tokenizer, self.code, most, lower=drops)
+        self.drops = "</w>" in str(getattr(self.tokenizer.model, "end_of_word_suffix", "") or "")
+        self.at_once = (SLICE_BYTES, DOCS) if self.drops else (4 * SLICE_BYTES, 4 * DOCS)
+        self.pieces = Pieces(self.tokenizer, self.code, most, lower=self.drops)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        get = self.pieces.__getitem__
-        return [self.whole(t) if (x := self.parts(t)) is None else b"".join(map(get, x)) for t in texts]
+        if self.drops:
+            get = self.pieces.__getitem__
+            return [b"".join(map(get, words_of(t))) for t in texts]
+        cut = [_spaced(t) for t in texts]
+        ids = self._encode([t.encode() for t, x in zip(texts, cut, strict=True) if x])
+        return [next(ids) if x else self.whole(t) for t, x in zip(texts, cut, strict=True)]
+
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Of texts that `cuts` may cut: equal pieces of a block meet in Arrow, so Python sees each of them once."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum([0, *map(len, texts)])
+        starts = cuts(data, at)
+        offsets = np.append(starts, len(data))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        found, counts = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for i in range(0, len(pieces), BLOCK):
+            block = pieces.slice(i, BLOCK).dictionary_encode()
+            ids = list(map(self.pieces.__getitem__, block.dictionary.to_numpy(zero_copy_only=False).tolist()))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+            which = block.indices.to_numpy()
+            n = sizes[which]
+            shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+            found.append(np.frombuffer(b"".join(ids), self.kind)[np.repeat(shift, n) + np.arange(n.sum())])
+            counts.append(n)
+        ids, ends = np.concatenate(found), np.cumsum(np.concatenate(counts))[np.searchsorted(starts, at)].tolist()
+        return (ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False))
 
 
 #: One of a path, a size and a process, so that a worker's later tasks find what its earlier ones encoded.
@@ -131,12 +159,38 @@ def _plain(text: str) -> bool:
     return text.isascii() or not any(x in (data := text.encode()) for x in _WIDE)
 
 
-def spaced_words_of(text: str) -> list[str] | None:
-    """For the byte-level vocabulary: a space stays with the word that follows it, and a line end is by itself. Longer runs of white
-    space, a run that ends the text, and rare white space are left to the library."""
-    if not _plain(text) and _ODD.search(text):
-        return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+def _spaced(text: str) -> bool:
+    """If all white space of a text is single spaces before a word and line ends; longer runs of white space, a run that ends the text, and
+    rare white space are left to the library."""
+    return _plain(text) or not _ODD.search(text)
+
+
+#: What a byte is to the byte-level vocabulary's expression, which parts letters, digits and marks: _ANY is any of them.
+_ANY, _LETTER, _DIGIT, _MARK, _QUOTE, _BLANK, _LINE = range(7)
+_CLASS = np.full(256, _ANY, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[0x27, 0x20, 0x0A]] = _QUOTE, _BLANK, _LINE
+#: If a piece ends between a byte of one class and one of the next. A quote may begin one of 's, 't and so on, so it isn't parted from letters.
+_ENDS = np.zeros((7, 7), bool)
+_ENDS[_LETTER, [_DIGIT, _MARK, _QUOTE]] = _ENDS[_DIGIT, [_LETTER, _MARK, _QUOTE]] = _ENDS[_MARK, [_LETTER, _DIGIT]] = True
+_ENDS[:, [_BLANK, _LINE]] = _ENDS[_LINE] = True
+_ENDS = _ENDS.reshape(-1)
+
+
+def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces of texts in UTF-8 begin, for the byte-level vocabulary; `at`: where the texts begin, and the end. Texts are as
+    `_spaced` wants them: a space stays with what follows it, and a line end is by itself. Of letters beyond ASCII those of Latin-1
+    are known."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+    kind[lead] = kind[lead + 1] = _LETTER
+    begins = np.zeros(len(data), bool)
+    begins[1:] = _ENDS[kind[:-1] * np.uint8(7) + kind[1:]]
+    begins[at[:-1][at[:-1] < len(data)]] = True
+    return np.flatnonzero(begins)
 
 
 #: White space to str.split(), but not to the tokenizer.
@@ -151,10 +205,11 @@ def words_of(text: str) -> list[str]:
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end: int, most: int = MEMO) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows' doc_id and ids with the end id, some hundred rows at a time; a null text is empty."""
     held = memo(path, most)
+    size, docs = held.at_once
     for batch in batches:
-        for part in slices(batch, "text"):
-            for at in range(0, part.num_rows, DOCS):
-                rows = part.slice(at, DOCS)
+        for part in slices(batch, "text", size):
+            for at in range(0, part.num_rows, docs):
+                rows = part.slice(at, docs)
                 ids = held.encode([x or "" for x in rows.column("text").to_pylist()])
                 yield rows.column("doc_id").to_pylist(), [np.append(np.frombuffer(x, held.kind), held.kind.type(end)) for x in ids]
 
